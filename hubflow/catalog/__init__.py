@@ -1,5 +1,6 @@
 """Registered queries, each with the SQL that checks it."""
 
+from hubflow.catalog.domain import DOMAIN
 from hubflow.catalog.reports import REPORTS
 
-CHECKS = {**REPORTS}
+CHECKS = {**REPORTS, **DOMAIN}

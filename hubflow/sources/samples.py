@@ -27,7 +27,7 @@ VIEWS = {
         SELECT s_suppkey AS warehouse_id,
                CASE WHEN s_suppkey = 4 THEN 'Ahamove ' || s_name ELSE s_name END AS warehouse_name,
                CASE WHEN s_suppkey % 3 = 0 THEN 'KTC' ELSE 'BC' END AS warehouse_type,
-               CASE WHEN s_suppkey < 3 THEN 201 ELSE 300 + s_suppkey END AS province_id,
+               CAST(CASE WHEN s_suppkey < 3 THEN 201 ELSE 300 + s_suppkey END AS INT) AS province_id,
                CAST(s_nationkey AS STRING) AS region_shortname
         FROM supplier
     """,
