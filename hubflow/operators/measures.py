@@ -61,6 +61,19 @@ def measurements(log: DataFrame) -> DataFrame:
     )
 
 
+def measured_cohort(rows: DataFrame, cohort: DataFrame) -> DataFrame:
+    """Measurements of the cohort's orders.
+
+    Rows may repeat for an order that is in the cohort more than once, which no
+    later step notices, as they only take maxima per minute. An inner join, not
+    a semi join, because Spark moves the latter below the JSON parsing and would
+    shuffle the texts; the cohort is collapsed on all its columns, so that this
+    join and the final one read the same exchange.
+    """
+    keys = cohort.select(*_COHORT).distinct().select(F.col("ordercode").alias("order_code"))
+    return rows.join(keys, "order_code")
+
+
 def minute_maxima(rows: DataFrame) -> DataFrame:
     """Largest weight and sizes per order, hub and minute."""
     return rows.groupBy("order_code", "location_id", minute_of(F.col("last_updated_time")).alias("measured_time")).agg(

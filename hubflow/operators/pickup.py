@@ -29,10 +29,7 @@ def flag_incidents(df: DataFrame, incidents: DataFrame) -> DataFrame:
 
 
 def pickup_facts(mart: DataFrame, since: date) -> DataFrame:
-    """Order day and punctuality flags of orders picked at ordinary hubs.
-
-    Equal rows are counted in ``mart_rows`` rather than carried singly.
-    """
+    """Order day and punctuality flags of orders picked at ordinary hubs."""
     kept = partition_window(mart, "createddate_partition", since).filter(pick_hub_bucket(F.col("pickwh")) == "OTHER")
     day = order_date(F.col("orderdate"), F.col("createddate"))
     dated = kept.select("*", day.alias("order_date"))
@@ -41,14 +38,10 @@ def pickup_facts(mart: DataFrame, since: date) -> DataFrame:
     valid = ((status == P.CANCELLED) & (cancelled > F.col("order_date"))) | (status != P.CANCELLED)
     ontime = valid & ~F.coalesce("isexpecteddropoff", F.lit(False)) & (picked <= F.col("order_date"))
     flags = {"is_valid": valid, "is_ontime": ontime, "is_late": picked > F.col("order_date")}
-    return (
-        dated.select(
-            F.col("ordercode").alias("order_code"),
-            "order_date",
-            *[F.coalesce(flag, F.lit(False)).alias(name) for name, flag in flags.items()],
-        )
-        .groupBy("order_code", "order_date", *flags)
-        .agg(F.count(F.lit(1)).alias("mart_rows"))
+    return dated.select(
+        F.col("ordercode").alias("order_code"),
+        "order_date",
+        *[F.coalesce(flag, F.lit(False)).alias(name) for name, flag in flags.items()],
     )
 
 
@@ -56,15 +49,18 @@ def pickup_places(sla: DataFrame, since: date, clients: tuple[str, ...]) -> Data
     """Pick-up province and district per order, with the number of equal rows."""
     kept = partition_window(sla, "loaddate", since).filter(F.col("clientid").isin(*clients))
     return kept.groupBy(F.col("ordercode").alias("order_code"), "pickprovince", "pickdistrict").agg(
-        F.count(F.lit(1)).alias("sla_rows")
+        F.count(F.lit(1)).alias("weight")
     )
 
 
 def pickup_base(sla: DataFrame, mart: DataFrame, trip_items: DataFrame, *, since: date, clients: tuple[str, ...]) -> DataFrame:
-    """Places joined to facts; ``weight`` is the number of row pairs each line stands for."""
+    """Places joined to facts; ``weight`` is the number of equal places each line stands for.
+
+    Only one side needs collapsing to keep many rows of one order from pairing
+    up; the smaller one is, the mart of all clients is shuffled once.
+    """
     joined = pickup_places(sla, since, clients).join(pickup_facts(mart, since), "order_code")
-    weighted = joined.withColumn("weight", F.col("sla_rows") * F.col("mart_rows")).drop("sla_rows", "mart_rows")
-    return flag_incidents(weighted, incident_orders(trip_items, since))
+    return flag_incidents(joined, incident_orders(trip_items, since))
 
 
 def pickup_metrics(base: DataFrame, groups: list[str]) -> DataFrame:

@@ -26,21 +26,23 @@ def sla_deadlines(df: DataFrame) -> DataFrame:
 
 
 def sla_rows(sla: DataFrame, start: date, as_of: date) -> DataFrame:
-    """Distinct promises per order loaded from ``start`` up to yesterday."""
+    """Promises per order loaded from ``start`` up to yesterday."""
     loaded = partition_window(sla, "loaddate", start, as_of - timedelta(days=1), closed=True)
     return loaded.select(
         F.col("ordercode").alias("order_code"),
         F.col("deadlinedeliverysla").alias("sla_time"),
         F.col("deliveryprovince").alias("deli_province"),
         "externallane",
-    ).distinct()
+    )
 
 
 def sla_join(orders: DataFrame, promises: DataFrame, hubs: DataFrame, marker: str = P.EXCLUDED_HUB_MARKER) -> DataFrame:
     """Orders with their promises and delivery-hub attributes.
 
     The load-date range on the promises makes that join inner; orders of an
-    unknown hub stay, those of an excluded hub go.
+    unknown hub stay, those of an excluded hub go. Orders come collapsed, the
+    promises of all clients do not: equal rows are removed after the join, where
+    few are left and the partitioning by order already serves.
     """
     dim = hubs.select(F.col("warehouse_id").alias("deliver_warehouse_id"), "province_id", "warehouse_name").distinct()
     kept = exclude_hubs(orders.join(dim, "deliver_warehouse_id", "left"), "warehouse_name", marker)
@@ -55,9 +57,8 @@ def bulky_cohort(client_orders: DataFrame, sla: DataFrame, hubs: DataFrame, *, s
         service_class(F.col("weight"), F.col("converted_weight")).alias("service_type"),
         "deliver_warehouse_id",
     ).distinct()
-    promises = sla_rows(sla, since, as_of).drop("sla_time").distinct()
     return (
-        sla_join(orders, promises, hubs)
+        sla_join(orders, sla_rows(sla, since, as_of), hubs)
         .withColumn("client_channel", F.lit(channel))
         .select("order_code", "deliver_warehouse_id", "client_id", "client_channel", "service_type", "deli_province", "externallane")
         .distinct()
@@ -77,7 +78,7 @@ def transit_cohort(client_orders: DataFrame, sla: DataFrame, hubs: DataFrame, *,
         .groupBy("order_code", "deliver_warehouse_id")
         .agg(F.count(F.lit(1)).alias("variants"))
     )
-    return sla_join(orders, sla_rows(sla, start, as_of), hubs)
+    return sla_join(orders, sla_rows(sla, start, as_of), hubs).distinct()
 
 
 def arrival_rollup(cohort: DataFrame, arrivals: DataFrame, exports: DataFrame | None = None) -> DataFrame:

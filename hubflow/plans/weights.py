@@ -8,19 +8,20 @@ from pyspark.sql import DataFrame
 
 from hubflow.functions.values import nulls_last
 from hubflow.operators import measures as M
-from hubflow.operators.windows import ReportWindow, month_to_date_window, partition_window, yesterday_window
+from hubflow.operators.windows import month_to_date_window, partition_window, yesterday_window
 
 
-def _weights(log: DataFrame, first_partition: date, *, same_hub: bool) -> DataFrame:
+def _weights(log: DataFrame, cohort: DataFrame, first_partition: date, *, same_hub: bool) -> DataFrame:
     rows = M.measurements(partition_window(log, "date_partition", first_partition))
-    return M.order_weights(M.minute_maxima(rows), same_hub=same_hub)
+    return M.order_weights(M.minute_maxima(M.measured_cohort(rows, cohort)), same_hub=same_hub)
 
 
 def weight_gap_summary(mart: DataFrame, log: DataFrame, *, as_of: date) -> DataFrame:
     """Three full months and the month to date, per day, client type and journey."""
     window = month_to_date_window(as_of)
-    gaps = M.weight_gaps(_weights(log, window.start, same_hub=True))
-    bands = M.gap_bands(M.completed_cohort(mart, window), gaps)
+    cohort = M.completed_cohort(mart, window)
+    gaps = M.weight_gaps(_weights(log, cohort, window.start, same_hub=True))
+    bands = M.gap_bands(cohort, gaps)
     return bands.orderBy(*nulls_last(success_date="asc", client_type="asc", journey_type="asc"))
 
 
@@ -30,6 +31,7 @@ def weight_gap_detail(mart: DataFrame, log: DataFrame, *, as_of: date) -> DataFr
     ``as_of`` is the local day. Log rows are read from the first partition, not
     from the completion day, so that early measurements count.
     """
-    window: ReportWindow = yesterday_window(as_of)
-    gaps = M.audit_gaps(_weights(log, window.partition_start, same_hub=False))
-    return M.gap_detail(M.completed_cohort(mart, window), gaps).orderBy(*nulls_last(success_date="asc", ordercode="asc"))
+    window = yesterday_window(as_of)
+    cohort = M.completed_cohort(mart, window)
+    gaps = M.audit_gaps(_weights(log, cohort, window.partition_start, same_hub=False))
+    return M.gap_detail(cohort, gaps).orderBy(*nulls_last(success_date="asc", ordercode="asc"))
