@@ -8,38 +8,26 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from hubflow.session import configure
-from hubflow.sources import samples
-
-
-class Tables:
-    """Sample sources of one data directory, by name."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __call__(self, name: str) -> DataFrame:
-        if name in samples.BASE_TABLES:
-            return samples.base(self.spark, self.sf_dir, name)
-        return samples.source(self.spark, self.sf_dir, name)
+from hubflow.sources.samples import Samples, with_views
 
 
 @dataclass(frozen=True)
 class Check:
-    build: Callable[[Tables], DataFrame]
+    build: Callable[[Samples], DataFrame]
     sql: str
 
     def query(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.build(Tables(configure(spark), sf_dir))
+        return self.build(Samples(configure(spark), sf_dir))
 
     def statement(self) -> str:
-        return samples.with_views(self.sql)
+        return with_views(self.sql)
 
 
 class Catalog(dict[str, Check]):
-    def add(self, name: str, sql: str) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
+    def add(self, name: str, sql: str) -> Callable[[Callable[[Samples], DataFrame]], Callable[[Samples], DataFrame]]:
         """Register the decorated function, which builds the query from the sources."""
 
-        def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        def register(build: Callable[[Samples], DataFrame]) -> Callable[[Samples], DataFrame]:
             if name in self:
                 raise ValueError(f"query {name} is registered twice")
             self[name] = Check(build, sql)

@@ -104,8 +104,8 @@ def pod_attach(sample: DataFrame, order_pods: DataFrame) -> DataFrame:
     or split a hot order on either side, which an outer join does not. The test
     for bare orders reads one nested field only.
     """
+    matched = pod_explode(sample.join(order_pods.select("order_code", "pods"), "order_code"), sample.columns)
     held = order_pods.filter(F.size("pods.order_status") > 0)
-    matched = pod_explode(sample.join(held.select("order_code", "pods"), "order_code"), sample.columns)
     bare = sample.join(held.select("order_code").distinct(), "order_code", "left_anti")
     both = matched.unionByName(bare.select(sample.columns), allowMissingColumns=True)
     return both.withColumn("pod_url_list", F.array_join("pod_urls", " | ")).drop("pod_urls")

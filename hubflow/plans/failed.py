@@ -30,7 +30,11 @@ def failed_delivery_pod_sample(
     client_types: Iterable[str],
     hub_ids: Iterable[int],
 ) -> DataFrame:
-    """Returned orders of the flagged hubs with every proof-of-delivery entry."""
+    """Returned orders of the flagged hubs with every proof-of-delivery entry.
+
+    A sort samples its input first. The result is rebalanced before, so that the
+    sampling reads that small exchange and not the entry table a second time.
+    """
     sample = failed.failed_sample(mart, partitions=partitions, picked=picked, client_types=client_types, hub_ids=hub_ids)
     result = failed.pod_attach(sample, partition_window(order_pods, "createddate_partition", *partitions, closed=True))
-    return result.orderBy(*nulls_last(deliverywarehouseid="asc", pick_date="asc", order_code="asc"))
+    return result.hint("rebalance").orderBy(*nulls_last(deliverywarehouseid="asc", pick_date="asc", order_code="asc"))

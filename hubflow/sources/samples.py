@@ -236,31 +236,40 @@ def with_views(sql: str) -> str:
     return f"WITH {', '.join(ctes)} SELECT * FROM ({sql.strip()}) AS result" if ctes else sql.strip()
 
 
-def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+class Samples:
+    """Report sources over one directory of sample tables; every table is opened once."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self._opened: dict[str, DataFrame] = {}
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ctes = [
-        f"{n} AS ({VIEWS[n].strip()})" if n in VIEWS else f"{n} AS (SELECT * FROM parquet.`{sf_dir}/{n}.parquet`)"
-        for n in _needed(f"FROM {name}", [], BASE_TABLES)
-    ]
-    return spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {name}")
+    def __call__(self, name: str) -> DataFrame:
+        """A base table, or a report source checked against its schema."""
+        if name not in self._opened:
+            self._opened[name] = self._open(name)
+        return self._opened[name]
 
+    def _open(self, name: str) -> DataFrame:
+        if name in BASE_TABLES:
+            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name == "order_pods":
+            return conform(self._order_pods(), name)
+        schema = {"hub_scan_dirty": "hub_scan"}.get(name, name)
+        return conform(self.view(name), schema)
 
-def _order_pods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "pod_row")
-    shared = ["time", "lat", "lng", "is_correct"]
-    first = F.struct("order_status", "reason", *shared, F.array("first_url", "second_url").alias("urls"))
-    second = F.struct("order_status", F.lit("again").alias("reason"), *shared, F.array("second_url").alias("urls"))
-    return rows.select(
-        "order_code", "createddate_partition", F.slice(F.array(first, second), F.lit(1), F.col("pod_count")).alias("pods")
-    )
+    def view(self, name: str) -> DataFrame:
+        needed = _needed(f"FROM {name}", [], BASE_TABLES)
+        tables = {n: self(n) for n in needed if n in BASE_TABLES}
+        # Braces of JSON texts are doubled, those around a base table name take the DataFrame.
+        text = {n: VIEWS[n].strip().replace("{", "{{").replace("}", "}}") for n in needed if n in VIEWS}
+        ctes = [f"{n} AS ({text.get(n, f'SELECT * FROM {{{n}}}')})" for n in needed]
+        return self.spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {name}", **tables)
 
-
-def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A report source over the sample tables, checked against its schema."""
-    if name == "order_pods":
-        return conform(_order_pods(spark, sf_dir), name)
-    schema = {"hub_scan_dirty": "hub_scan"}.get(name, name)
-    return conform(view(spark, sf_dir, name), schema)
+    def _order_pods(self) -> DataFrame:
+        rows = self.view("pod_row")
+        shared = ["time", "lat", "lng", "is_correct"]
+        first = F.struct("order_status", "reason", *shared, F.array("first_url", "second_url").alias("urls"))
+        second = F.struct("order_status", F.lit("again").alias("reason"), *shared, F.array("second_url").alias("urls"))
+        count = F.col("pod_count")
+        pods = F.when(count == 2, F.array(first, second)).when(count == 1, F.array(first)).otherwise(F.slice(F.array(first), 1, 0))
+        return rows.select("order_code", "createddate_partition", pods.alias("pods"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NumericType, StructType
 
 _DDL = {
@@ -45,6 +46,7 @@ _OPEN = frozenset({"claim"})
 SOURCES = tuple(_DDL)
 
 
+@lru_cache(maxsize=None)
 def schema_of(source: str) -> StructType:
     """Declared schema of a source (needs a running session to read the type text)."""
     return StructType.fromDDL(_DDL[source])
@@ -73,13 +75,14 @@ def conform(df: DataFrame, source: str) -> DataFrame:
         elif not _compatible(found.dataType, field.dataType):
             problems.append(f"{field.name} is {found.dataType.simpleString()}, not {field.dataType.simpleString()}")
         else:
-            column = F.col(f"`{found.name}`")
-            kept.append(column.alias(field.name) if found.dataType == field.dataType else column.cast(field.dataType).alias(field.name))
+            same = found.dataType.simpleString() == field.dataType.simpleString()
+            value = f"`{found.name}`" if same else f"CAST(`{found.name}` AS {field.dataType.simpleString()})"
+            kept.append(f"{value} AS `{field.name}`")
     if problems:
         raise ValueError(f"source {source}: " + "; ".join(problems))
     if source in _OPEN:
         return df
-    return df.select(*kept)
+    return df.selectExpr(*kept)
 
 
 def read_table(spark: SparkSession, source: str, table: str) -> DataFrame:
