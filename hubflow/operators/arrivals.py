@@ -95,24 +95,28 @@ def first_arrival(scans: DataFrame, check_ins: DataFrame, carrier: str) -> DataF
     )
 
 
-def delivery_arrivals(arrivals: DataFrame, destinations: DataFrame, transit_hubs: DataFrame) -> DataFrame:
-    """Arrivals at the orders' delivery hubs with the number of transit hubs passed before.
+def delivery_arrivals(arrivals: DataFrame, cohort: DataFrame, transit_hubs: DataFrame) -> DataFrame:
+    """Cohort rows that reached their delivery hub, with the arrival and the transit hubs passed before.
 
-    ``destinations`` holds (order_code, deliver_warehouse_id). A transit hub
-    counts if the order's first arrival there is strictly earlier than its first
-    arrival at a delivery hub. Orders that never reached theirs give no row. The
-    window holds one row per hub of an order, so its size is bounded by the hubs.
+    ``cohort`` holds order_code, deliver_warehouse_id and any attributes. A
+    transit hub counts if the order's first arrival there is strictly earlier
+    than its first arrival at a delivery hub. The windows span the hubs of one
+    order, so their size is bounded; cohort and log are each read once.
     """
-    goals = destinations.select("order_code", F.col("deliver_warehouse_id").alias("hub_id")).distinct()
+    goals = cohort.withColumnRenamed("deliver_warehouse_id", "hub_id").withColumn("is_goal", F.lit(True))
     order = Window.partitionBy("order_code")
-    passed = F.col("is_transit") & (F.col("arrived_at") < F.col("reached_at"))
+    # Several cohort rows may share a hub, which still counts once.
+    single = F.row_number().over(Window.partitionBy("order_code", "hub_id").orderBy("arrived_at")) == 1
+    passed = F.col("is_transit") & F.col("is_single") & (F.col("arrived_at") < F.col("reached_at"))
     return (
-        arrivals.join(goals.withColumn("is_goal", F.lit(True)), ["order_code", "hub_id"], "left")
+        arrivals.join(goals, ["order_code", "hub_id"], "left")
+        .withColumn("is_single", single)
         .join(transit_hubs.withColumn("is_transit", F.lit(True)), "hub_id", "left")
         .withColumn("reached_at", F.max(F.when(F.col("is_goal"), F.col("arrived_at"))).over(order))
         .withColumn("hubs_passed", count_if(passed).over(order))
         .filter("is_goal")
-        .select("order_code", F.col("hub_id").alias("deliver_warehouse_id"), "arrived_at", "hubs_passed")
+        .withColumnRenamed("hub_id", "deliver_warehouse_id")
+        .select(*cohort.columns, "arrived_at", "hubs_passed")
     )
 
 
@@ -123,10 +127,8 @@ def hubs_passed(deliveries: DataFrame) -> DataFrame:
     )
 
 
-def delivery_cohort(deliveries: DataFrame, cohort: DataFrame, attributes: list[str]) -> DataFrame:
+def delivery_cohort(deliveries: DataFrame, attributes: list[str]) -> DataFrame:
     """Orders that reached their delivery hub, by attributes, with the day of the first arrival."""
-    return (
-        cohort.join(deliveries, ["order_code", "deliver_warehouse_id"])
-        .groupBy("order_code", *attributes)
-        .agg(F.to_date(F.min("arrived_at")).alias("created_date"), F.max("hubs_passed").alias("hubs_passed"))
+    return deliveries.groupBy("order_code", *attributes).agg(
+        F.to_date(F.min("arrived_at")).alias("created_date"), F.max("hubs_passed").alias("hubs_passed")
     )

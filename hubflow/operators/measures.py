@@ -67,8 +67,8 @@ def measured_cohort(rows: DataFrame, cohort: DataFrame) -> DataFrame:
     Rows may repeat for an order that is in the cohort more than once, which no
     later step notices, as they only take maxima per minute. An inner join, not
     a semi join, because Spark moves the latter below the JSON parsing and would
-    shuffle the texts; the cohort is collapsed on all its columns, so that this
-    join and the final one read the same exchange.
+    shuffle the texts. The cohort is collapsed on all its columns and shuffled
+    by order afterwards, so copies are gone and Spark can still split a hot order.
     """
     keys = cohort.select(*_COHORT).distinct().select(F.col("ordercode").alias("order_code"))
     return rows.join(keys, "order_code")

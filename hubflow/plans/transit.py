@@ -42,7 +42,7 @@ def hub_pass_weekly(
     arrivals = A.first_arrival(seen, A.truck_check_ins(partition_window(truck_events, "dt", since, as_of)), "trip_code")
     deliveries = A.delivery_arrivals(arrivals, cohort, hubs_of_type(hubs, P.TRANSIT_HUB))
     groups = ["client_id", "client_channel", "service_type", "deli_province", "externallane"]
-    reached = partition_window(A.delivery_cohort(deliveries, cohort, groups), "created_date", since, as_of)
+    reached = partition_window(A.delivery_cohort(deliveries, groups), "created_date", since, as_of)
     return (
         reached.groupBy(
             monday_of(F.col("created_date")).alias("week_start"), *groups, pass_bucket(F.col("hubs_passed")).alias("ktc_pass")
