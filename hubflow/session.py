@@ -35,6 +35,8 @@ def local_session(cores: int | str = "*", app: str = "hubflow", shuffle_partitio
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # A few MB of keys may unfold to much text and JSON: keep all cores busy on small data.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         # Python call sites in error messages cost several JVM calls per expression.
         .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.driver.memory", "8g")
