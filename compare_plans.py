@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 
@@ -18,6 +19,7 @@ from hubflow.sources.samples import AS_OF, MEASURED_AS_OF, SINCE, Samples  # noq
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = local_session(8, app="compare")
     t = Samples(spark, sf_dir)
     transit = [t(n) for n in ("shipping_order", "sla_mart", "dim_warehouse", "hub_scan_dirty", "trip_route", "stop_map")]
@@ -43,7 +45,7 @@ def main() -> None:
                 plan = build()._jdf.queryExecution().executedPlan().toString()
                 exchanges = len(re.findall(r"[+:]- Exchange (?:hash|range|Single|Round)", plan))
                 scans = len(re.findall(r"FileScan", plan))
-                print(f"{name:20} {form} broadcast<={threshold:5} {timed(build, 3):7.2f}s {exchanges} exchanges {scans} scans", flush=True)
+                print(f"{name:20} {form} broadcast<={threshold:5} {timed(build, runs):7.2f}s {exchanges} exchanges {scans} scans", flush=True)
     spark.stop()
 
 

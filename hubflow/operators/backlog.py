@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hubflow import params as P
 from hubflow.functions.labels import client_group, is_reported_client
 from hubflow.functions.times import whole_units
-from hubflow.operators.hubs import dedupe_dim, ward_lookup
+from hubflow.operators.hubs import dedupe_dim, relevant_scans, ward_lookup
 
 
 def pending_orders(orders: DataFrame) -> DataFrame:
@@ -33,22 +33,19 @@ def pending_at(pending: DataFrame, hubs: DataFrame, wards: DataFrame, hub_names:
 def last_scans(scans: DataFrame, pending: DataFrame) -> DataFrame:
     """Latest receive and unpack time per order among scans at its delivery hub.
 
-    The log is collapsed to one row per order and hub first; the pending keys
-    are collapsed on the same pair, so the join needs no further exchange and a
-    hot order cannot grow.
+    One pass over the log serves both; it is cut to the pending (order, hub)
+    pairs first, which are few beside it.
     """
     received, unpacked = F.col("action_name") == P.RECEIVE_ACTION, F.col("action_category") == P.UNPACK
-    latest = (
-        scans.filter(received | unpacked)
-        .groupBy("order_code", F.col("warehouse_id").cast("bigint").alias("hub_id"))
-        .agg(
-            F.max(F.when(received, F.col("action_time"))).alias("ibh_from_receive"),
-            F.max(F.when(unpacked, F.col("action_time"))).alias("ibh_from_unpack"),
-        )
+    rows = scans.filter(received | unpacked).select(
+        "order_code",
+        F.col("warehouse_id").cast("bigint").alias("hub_id"),
+        F.when(received, F.col("action_time")).alias("ibh_from_receive"),
+        F.when(unpacked, F.col("action_time")).alias("ibh_from_unpack"),
     )
-    keys = pending.select("order_code", F.col("deliver_warehouse_id").alias("hub_id")).distinct()
+    keys = pending.withColumnRenamed("deliver_warehouse_id", "hub_id")
     return (
-        latest.join(keys, ["order_code", "hub_id"])
+        relevant_scans(rows, keys, ["order_code", "hub_id"])
         .groupBy("order_code")
         .agg(F.max("ibh_from_receive").alias("ibh_from_receive"), F.max("ibh_from_unpack").alias("ibh_from_unpack"))
     )

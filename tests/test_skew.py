@@ -87,3 +87,16 @@ def test_hot_orders_are_split(large, skewed, name):
 def test_no_plan_needs_a_cross_product(large, name):
     plan = CHECKS[name].query(large, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+# Locally no log is large enough for a runtime filter, so every log counts as large here.
+@pytest.mark.parametrize("name", ["r01_hub_pass_weekly", "r02_transit_sla_weekly", "r07_delivery_backlog", "r10_weight_gap_detail"])
+def test_large_logs_are_filtered_before_the_shuffle(large, skewed, con, name):
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    large.conf.set(key, "0")
+    try:
+        df = CHECKS[name].query(large, skewed)
+        assert not [p for p in differences(df, con, CHECKS[name].statement()) if p != "no rows"]
+        assert "might_contain" in df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        large.conf.unset(key)
