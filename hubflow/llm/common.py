@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -129,17 +129,24 @@ def _powers(base: int, n: int) -> np.ndarray:
         return np.multiply.accumulate(out)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans from prefix sums of a polynomial; equal bytes give equal hashes anywhere."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+def span_hasher(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that gives 64-bit hashes of byte spans, from prefix sums of a polynomial; equal bytes hash alike anywhere."""
     with np.errstate(over="ignore"):
-        terms = (data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data))
-        sums = np.empty(len(data) + 1, np.uint64)
-        sums[0] = 0
+        terms = (data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data))[: len(data)]
+        sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(terms, out=sums[1:])
-        value = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(data))[starts]
-        return mixed(value + (ends - starts).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    back = _powers(_INVERSE, len(data))
+
+    def hashes(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            value = (sums[ends] - sums[starts]) * back[np.minimum(starts, len(back) - 1)]
+            return mixed(value + (ends - starts).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+    return hashes
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return span_hasher(data)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
 def hashed_sample(rows: DataFrame, key: str, size: int, total: int) -> DataFrame:

@@ -171,11 +171,13 @@ def pack(docs: DataFrame, vocabulary: str, *, queue: str = "source", window: int
     schedule = Schedule([totals.get(i, 0) for i in range(len(totals))])
     order = Window.partitionBy("lane").orderBy("task", "queue").rowsBetween(Window.unboundedPreceding, -1)
     ahead = per_task.select("queue", "task", "lane", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("ahead"))
+    # Written, so that its size is known when the join is planned: a small one is broadcast, and no ids are shuffled.
+    ahead = written(ahead, "packing-ahead")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 begin = part.column("begin").to_numpy()
                 doc, tokens, raw = part.column("doc_id"), part.column("tokens").to_numpy(), part.column("ids").to_pylist()
                 row, sequence, low, high, offset = schedule.pieces(part.column("lane").to_numpy().astype(np.int64), begin, begin + tokens, window)

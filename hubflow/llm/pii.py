@@ -126,8 +126,9 @@ def learned(docs: DataFrame, spans: DataFrame, *, rounds: int, confidence: float
     other = spans.select(F.explode("other").alias("s")).select("s.context", "s.value", F.lit(None).cast("int").alias("rank"))
     edges = base.union(other).where("context IS NOT NULL").groupBy("context", "value", "rank").agg(F.count("*").alias("n"))
     edges = written(edges, "pii-edges")
-    # No context can gain support beyond its distinct instances.
-    wide = edges.groupBy("context").agg(F.count("*").alias("instances"), F.sum("n").alias("led")).where(F.col("instances") >= support)
+    # For no kind can a context gain support beyond its seeds of that kind and the instances of that kind's form.
+    could = [F.count_if((F.col("rank") == i) | (F.col("rank").isNull() & F.col("value").rlike(FORM[k]))) for i, k in enumerate(KINDS)]
+    wide = edges.groupBy("context").agg(F.greatest(*could).alias("instances"), F.sum("n").alias("led")).where(F.col("instances") >= support)
     wide = written(wide, "pii-contexts")
     spoken = wide.where("context LIKE '% '")
     totals = wide.where("NOT context LIKE '% '").select("context", F.col("led").alias("total"))

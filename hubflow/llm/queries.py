@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubflow.llm import hilbert, packing, pii, vptree, weak_labels, winnow
+from hubflow.llm import crf, hilbert, packing, pii, rp_forest, toxicity, vptree, weak_labels, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def crc_of(column: str) -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -30,6 +34,11 @@ def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
 
 
+def op3_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest by inner product of every twentieth vector, among all others."""
+    return rp_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of all documents: base patterns and what learned contexts add."""
     found = pii.personal_data(table(spark, sf_dir, "documents"))
@@ -42,6 +51,13 @@ def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents; the field is fitted only on rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = crf.learn(docs.where(crc_of("doc_id") % 4 != 2))
+    return crf.languages(docs, model).select("doc_id", (crc_of("doc_id") % 4 == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words in documents."""
     hits = winnow.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -72,13 +88,24 @@ def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue")
 
 
+def op10_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; labels are learned only from rows that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.where(crc_of("doc_id") % 3 != 1))
+    scored = toxicity.toxicity(docs, model)
+    return scored.select("doc_id", (crc_of("doc_id") % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hilbert_sharding": op2_hilbert_sharding,
+    "op3_projection_forest": op3_projection_forest,
     "op4_bootstrapped_pii": op4_bootstrapped_pii,
+    "op5_crf_language": op5_crf_language,
     "op6_winnowing": op6_winnowing,
     "op7_simhash_vptree": op7_simhash_vptree,
     "op8_weak_label_quality": op8_weak_label_quality,
     "op9_mixture_packing": op9_mixture_packing,
+    "op10_boosted_toxicity": op10_boosted_toxicity,
 }
 
 #: Words and windows spelled out; the join is on whole windows, so no fingerprint is involved.
