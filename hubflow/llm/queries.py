@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubflow.llm import crf, hilbert, packing, pii, rp_forest, toxicity, vptree, weak_labels, winnow
+from hubflow.llm import crf, hilbert, packing, pii, rp_forest, suffix, toxicity, vptree, weak_labels, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of documents that a smaller doc_id holds in a string of 50 bytes."""
+    left = suffix.without_repeats(table(spark, sf_dir, "documents"), length=50)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of equal row counts along a Hilbert curve over language, source and size (law ``rows``)."""
     docs = table(spark, sf_dir, "documents")
@@ -97,6 +103,7 @@ def op10_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_hilbert_sharding": op2_hilbert_sharding,
     "op3_projection_forest": op3_projection_forest,
     "op4_bootstrapped_pii": op4_bootstrapped_pii,
