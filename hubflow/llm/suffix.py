@@ -15,6 +15,8 @@ from hubflow.llm.common import Block, blocks, mixed, scaled, span_hasher, writte
 GRAM = 20
 #: Copies that may be broadcast, bits of the filter of shared buckets at most, segments of a task, and of a bucket before it is cut again.
 BROADCAST_ROWS, FILTER_BITS, SEGMENTS_PER_TASK, HOT_BUCKET, LEVELS = 1_000_000, 26, 60_000, 100_000, 4
+#: Segments that are sorted together inside a task, unless one bucket has more.
+SEGMENTS_AT_ONCE = 1000
 
 
 def bucket_runs(block: Block, length: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,7 +70,7 @@ def common_prefix_classes(text: np.ndarray, length: int) -> tuple[np.ndarray, np
     for k in range(covered):  # seven symbols of nine bits fit in one number
         rank <<= 9
         rank[: max(0, n - k)] |= text[k:]
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     while True:
         sorted_rank = rank[order]
         dense = np.zeros(n, np.int64)
@@ -78,28 +80,33 @@ def common_prefix_classes(text: np.ndarray, length: int) -> tuple[np.ndarray, np
         after = np.zeros(n, np.int64)
         after[: max(0, n - covered)] = dense[covered:] + 1
         rank = dense * (n + 1) + after
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         covered *= 2
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     # Where a suffix's first symbol is dropped: the inverse of moving back by the symbol before it.
     dropped = place[np.minimum(order + 1, n - 1)]
     first = text[order]
     parted = np.ones(n, bool)
     parted[1:] = first[1:] != first[:-1]
+    # Symbol 0 ends a segment: no common prefix of use runs beyond the nearer end of two suffixes.
+    ends = np.append(np.flatnonzero(text == 0), n)
+    left = (ends[np.searchsorted(ends, np.arange(n))] - np.arange(n))[order]
+    use = np.minimum(left, np.concatenate([left[:1], left[:-1]]))
     open_ = np.flatnonzero(~parted)
-    for _ in range(length - 1):
+    for shared in range(1, length):
+        open_ = open_[~parted[open_]]
         if not len(open_):
             break
-        interval = np.cumsum(parted)
-        split = interval[dropped[open_]] != interval[dropped[open_ - 1]]
+        interval = np.cumsum(parted, dtype=np.int32)
+        split = (interval[dropped[open_]] != interval[dropped[open_ - 1]]) | (use[open_] <= shared)
         parted[open_[split]] = True
-        open_ = open_[~split]
     return order, np.cumsum(parted) - 1
 
 
-def least_documents(segments: list[bytes], least: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
+def least_documents(bodies: pa.Array, least: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """For windows of distinct segments, the smallest document that holds the same bytes: segment, first window, end, document."""
+    segments = bodies.to_pylist()
     sizes = np.array([len(s) for s in segments], np.int64)
     raw = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
     begin = np.cumsum(sizes + 1) - sizes - 1
@@ -120,7 +127,7 @@ def least_documents(segments: list[bytes], least: np.ndarray, length: int) -> li
     new[1:] = (who[1:] != who[:-1]) | (doc[1:] != doc[:-1])
     run = np.flatnonzero(new)
     end = np.append(run[1:], len(at))
-    return list(zip(who[run].tolist(), offset[at[run]].tolist(), (offset[at[end - 1]] + 1).tolist(), doc[run].tolist()))
+    return who[run], offset[at[run]], offset[at[end - 1]] + 1, doc[run]
 
 
 def _bits(shared: DataFrame, bits: int) -> np.ndarray:
@@ -192,30 +199,46 @@ def repeated_spans(docs: DataFrame, *, length: int = 50) -> DataFrame:
     bits = min(FILTER_BITS, max(16, (16 * shared.count()).bit_length()))
     segments = _segments(first, length, _bits(shared, bits), 0)
     segments = written(segments.withColumn("segment", F.xxhash64("body")), "suffix-segments")
-    for level in range(1, LEVELS):
-        distinct = segments.groupBy("bucket", "segment").agg(F.lit(1).alias("one"))
-        hot = written(distinct.groupBy("bucket").count().where(F.col("count") > HOT_BUCKET).select("bucket"), "suffix-hot")
-        if hot.isEmpty():
+    for level in range(1, LEVELS + 1):
+        # Slim rows first: how often each distinct segment occurs, and how many a bucket has.
+        distinct = written(segments.groupBy("bucket", "segment").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min(F.octet_length("body")).alias("size")), "suffix-distinct")
+        many = distinct.groupBy("bucket").agg(F.count("*").alias("distinct_segments")).where("distinct_segments > 1")
+        many = written(many, "suffix-many")
+        hot = many.where(F.col("distinct_segments") > HOT_BUCKET).select("bucket")
+        if level == LEVELS or hot.isEmpty():
             break
         again = segments.join(hot, "bucket", "left_semi").select("id", "hash", "start", "bucket", "body")
         cut = _segments(again, length, None, level).withColumn("segment", F.xxhash64("body"))
         segments = written(segments.join(hot, "bucket", "left_anti").select(*cut.columns).union(cut), "suffix-segments")
-    distinct = segments.groupBy("bucket", "body").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    tasks = scaled(segments.count(), SEGMENTS_PER_TASK, 1)
-    distinct = distinct.withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks))).withColumn("segment", F.xxhash64("body"))
+    several = many.select("bucket")
+    # A bucket's only segment: all its windows have the same smallest document, and there is nothing to compare.
+    alone = distinct.where("n > 1").join(several, "bucket", "left_anti")
+    alone = alone.select("bucket", "segment", F.lit(0).cast("long").alias("first"), (F.col("size") - (length - 1)).cast("long").alias("end"), "least")
+    tasks = scaled(distinct.join(several, "bucket", "left_semi").count(), SEGMENTS_PER_TASK, 1)
+    bodies = segments.join(several, "bucket", "left_semi").groupBy("bucket", "body").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    bodies = bodies.withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks))).withColumn("segment", F.xxhash64("body"))
 
     def expand(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        least, n = table.column("least").to_numpy(), table.column("n").to_numpy()
-        found = least_documents(table.column("body").to_pylist(), least, length)
-        # A segment of one document is of use only where a smaller document holds some of it.
-        found = [f for f in found if n[f[0]] > 1 or f[3] < least[f[0]]]
-        who = pa.array([f[0] for f in found], pa.int64())
-        column = lambda k: pa.array([f[k] for f in found], pa.int64())
-        return pa.table({"bucket": table.column("bucket").take(who), "segment": table.column("segment").take(who), "first": column(1), "end": column(2), "least": column(3)})
+        table = table.combine_chunks().sort_by("bucket")
+        bucket, segment, least, n = (table.column(c).to_numpy() for c in ("bucket", "segment", "least", "n"))
+        body, found = table.column("body").combine_chunks(), []
+        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        at = 0
+        while at < len(bucket):  # whole buckets, as many as keep the arrays small
+            nth = int(np.searchsorted(edges, at + SEGMENTS_AT_ONCE, side="right"))
+            end = int(edges[nth - 1]) if nth and edges[nth - 1] > at else (int(edges[nth]) if nth < len(edges) else len(bucket))
+            end = len(bucket) if len(bucket) - at <= SEGMENTS_AT_ONCE else end
+            who, first, stop, doc = least_documents(body.slice(at, end - at), least[at:end], length)
+            who = who + at
+            # A segment of one document is of use only where a smaller document holds some of it.
+            use = (n[who] > 1) | (doc < least[who])
+            found.append((bucket[who[use]], segment[who[use]], first[use], stop[use], doc[use]))
+            at = end
+        names = ("bucket", "segment", "first", "end", "least")
+        return pa.table({c: np.concatenate([f[i] for f in found]) for i, c in enumerate(names)})
 
-    found = distinct.groupBy("task").applyInArrow(expand, "bucket long, segment long, first long, end long, least long")
-    found = written(found, "suffix-found")
+    compared = bodies.groupBy("task").applyInArrow(expand, "bucket long, segment long, first long, end long, least long")
+    found = written(compared.union(alone), "suffix-found")
     hits = segments.select("id", "hash", "start", "bucket", "segment").join(found, ["bucket", "segment"]).where("least < id")
     hits = hits.select("id", "hash", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("end") + (length - 1)).alias("stop"))
     hits = hits.union(copies.select("id", "hash", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")))
