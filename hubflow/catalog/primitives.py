@@ -137,14 +137,14 @@ def _(t):
 @_ADD(
     "c_predicate_on_case",
     """
-    SELECT ordercode, pickwh FROM order_mart
-    WHERE CASE WHEN pickwh LIKE '%Ahamove%' THEN 'A' WHEN pickwh LIKE '%Key Account%' THEN 'K' ELSE 'O' END NOT IN ('K', 'A')
+    SELECT ordercode, numdeliver FROM order_mart
+    WHERE CASE WHEN numdeliver IS NULL THEN 'none' WHEN numdeliver > 1 THEN 'many' ELSE 'one' END <> 'many'
     """,
 )
 def _(t):
-    hub = F.col("pickwh")
-    label = F.when(hub.contains(P.EXCLUDED_HUB_MARKER), "A").when(hub.contains(P.KEY_ACCOUNT_MARKER), "K").otherwise("O")
-    return t("order_mart").filter(~label.isin("K", "A")).select("ordercode", "pickwh")
+    tries = F.col("numdeliver")
+    label = F.when(tries.isNull(), "none").when(tries > 1, "many").otherwise("one")
+    return t("order_mart").filter(label != "many").select("ordercode", "numdeliver")
 
 
 # --- joins --------------------------------------------------------------------

@@ -99,13 +99,10 @@ def pods_of(order_pods: DataFrame, sample: DataFrame) -> DataFrame:
 def pod_attach(sample: DataFrame, order_pods: DataFrame) -> DataFrame:
     """Sampled orders with their entries; orders without any keep one row with nulls.
 
-    Entries stay folded through the join. Matched and bare orders are separate
-    joins, because an inner join lets Spark broadcast the sample if it is small
-    or split a hot order on either side, which an outer join does not. The test
-    for bare orders reads one nested field only.
+    The entry table is read once: its rows with entries are cut to the sample by a semi-join, which may broadcast a
+    small sample, and entries stay folded until they have met their order.
     """
-    matched = pod_explode(sample.join(order_pods.select("order_code", "pods"), "order_code"), sample.columns)
-    held = order_pods.filter(F.size("pods.order_status") > 0)
-    bare = sample.join(held.select("order_code").distinct(), "order_code", "left_anti")
-    both = matched.unionByName(bare.select(sample.columns), allowMissingColumns=True)
+    held = order_pods.select("order_code", "pods").filter(F.size("pods") > 0).join(sample.select("order_code"), "order_code", "left_semi")
+    entries = sample.join(held, "order_code", "left").select(*sample.columns, F.explode_outer("pods").alias("pod"))
+    both = entries.select(*sample.columns, *[F.col(f"pod.{f}").alias(name) for f, name in _POD_COLUMNS.items()])
     return both.withColumn("pod_url_list", F.array_join("pod_urls", " | ")).drop("pod_urls")

@@ -42,7 +42,9 @@ def delivery_backlog(
         "end_pick_time",
     )
     latest = B.latest_rows(listed, "ordercode", "created_date")
-    last = B.last_scans(partition_window(scans, "dt", start), pending).withColumnRenamed("order_code", "ordercode")
+    # Only listed orders are reported, but each of them with the scans at all hubs where it is pending.
+    wanted = pending.join(latest.select(F.col("ordercode").alias("order_code")), "order_code", "left_semi")
+    last = B.last_scans(partition_window(scans, "dt", start), wanted).withColumnRenamed("order_code", "ordercode")
     aged = B.pending_age(B.inbound_time(latest.join(last, "ordercode", "left")), now)
     return (
         aged.withColumn("created_date", F.to_date("created_date"))

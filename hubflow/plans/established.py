@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from datetime import datetime
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame
 
@@ -16,9 +17,11 @@ def established_reports(
 ) -> dict[str, Callable[[], DataFrame]]:
     """Report builders over ``source(name)``, which opens the sources of ``hubflow.sources.schemas``.
 
-    ``now`` is the local wall-clock time of the run, and its day the report day.
+    ``now`` is the instant of the run; its day in the local zone is the report day. A naive time is taken as local wall clock.
     The hubs of the proof-of-delivery sample have no established list.
     """
+    if now.tzinfo:
+        now = now.astimezone(ZoneInfo(P.LOCAL_ZONE)).replace(tzinfo=None)
     today = now.date()
     return {
         "hub_pass_weekly": lambda: plans.hub_pass_weekly(

@@ -18,10 +18,9 @@ RUNTIME_CONF = {
     # trip or package is split at run time, also where that costs one exchange more.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Logs are joined to the orders of one client or period. A Bloom filter of those
-    # orders, of bounded size, then drops most log rows before they are shuffled.
+    # Logs are joined to the orders of one client or period. A Bloom filter of those orders, with Spark's own limits on
+    # its size and on what may be read to build it, then drops most log rows before they are shuffled.
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "64GB",
 }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pytest
 from conftest import SMALL
@@ -51,3 +51,15 @@ def test_backlog_keeps_listed_hubs_and_both_spellings(spark, table):
         ("b", "SME", hub, "Dong Nai", "end_pick_time", 49, 2),
         ("a", "SPE", hub, "Đồng Nai", "receive_package", 22, 0),
     ]
+
+
+@pytest.mark.parametrize("hour, minute, day", [(16, 59, "2026-06-16"), (17, 0, "2026-06-17")])
+def test_report_day_follows_the_local_zone(monkeypatch, hour, minute, day):
+    """Ho Chi Minh City is seven hours ahead: its next day begins at 17:00 UTC."""
+    from hubflow import plans
+
+    seen = []
+    monkeypatch.setattr(plans, "weight_gap_detail", lambda *tables, as_of: seen.append(str(as_of)))
+    instant = datetime(2026, 6, 16, hour, minute, tzinfo=timezone.utc)
+    established_reports(lambda name: None, instant, sampled_hub_ids=[])["weight_gap_detail"]()
+    assert seen == [day]
