@@ -168,7 +168,7 @@ def boost(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3, rate
 
 
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing fit of labels to raw scores (pool adjacent violators), a pseudo-row of the mean at each end."""
+    """Knots of the non-decreasing fit of labels to raw scores (pool adjacent violators), with a pseudo-row of the mean in each pooled block."""
     order = np.argsort(raw, kind="stable")
     blocks_: list[list[float]] = []
     for r, v in zip(raw[order].tolist(), y[order].tolist()):
@@ -179,7 +179,8 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             last[2] = (last[2] * last[1] + at * n) / (last[1] + n)
             last[0], last[1] = last[0] + total, last[1] + n
     mean = float(y.mean())
-    return np.array([b[2] for b in blocks_]), np.array([(b[0] + mean) / (b[1] + 1) for b in blocks_])
+    # The pseudo-row weighs more in a small block, so a later block may not fall below an earlier one.
+    return np.array([b[2] for b in blocks_]), np.maximum.accumulate([(b[0] + mean) / (b[1] + 1) for b in blocks_])
 
 
 @dataclass
