@@ -34,6 +34,9 @@ FORM = {
 }
 #: Characters to the left that hold a context.
 REACH = 64
+#: Bits of one of Spark's bitmaps, and of the filter of word pairs that is made of sixteen.
+BITMAP = 32768
+SLOTS = 16 * BITMAP
 
 
 def _quoted(regex: str) -> str:
@@ -104,13 +107,25 @@ def located(docs: DataFrame) -> DataFrame:
     return found.select("row", "doc_id", "text_hash", "base", F.expr(apart).alias("other"))
 
 
+def _flags(pairs: DataFrame) -> Column:
+    """The low bits of all ``pair`` as an array of ``SLOTS / 8`` bytes: one value of a fixed size, whatever the number of pairs."""
+    each = ", ".join(f"bitmap_construct_agg(slot % {BITMAP}) FILTER (WHERE slot div {BITMAP} = {i})" for i in range(SLOTS // BITMAP))
+    bits = pairs.select(F.expr(f"pair & {SLOTS - 1}L AS slot")).agg(F.expr(f"concat({each}) AS bits"))
+    return bits.select(F.expr("transform(sequence(1, length(bits)), i -> CAST(conv(hex(substring(bits, i, 1)), 16, 10) AS int))")).scalar()
+
+
 def context_totals(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """``context, total``: how often each of the given two-word contexts stands anywhere, whatever follows."""
+    """``context, total``: how often each of the given two-word contexts stands anywhere, whatever follows.
+
+    A filter of fixed size drops most other pairs of words at the scan; what passes is counted per task before it is
+    shuffled, and only the counts meet the contexts. Pairs that pass by chance find no context there.
+    """
     words = "filter(split(regexp_replace(lower(text), '[0-9]', '0'), r'\\s+'), w -> w <> '')"
     pairs = docs.select(F.expr(words).alias("w")).select(F.explode(F.expr("transform(slice(w, 1, greatest(size(w) - 1, 0)), (x, i) -> xxhash64(x, w[i + 1]))")).alias("pair"))
-    keyed = contexts.withColumn("pair", F.expr("xxhash64(split(context, ' ')[0], split(context, ' ')[1])"))
-    # Counted per task first: a frequent pair of words crosses the network once for each task.
-    counted = pairs.join(keyed.select("pair").distinct(), "pair", "left_semi").groupBy("pair").agg(F.count("*").alias("total"))
+    keyed = written(contexts.withColumn("pair", F.expr("xxhash64(split(context, ' ')[0], split(context, ' ')[1])")), "pii-pairs")
+    byte = F.get(_flags(keyed), F.expr(f"CAST(shiftright(pair & {SLOTS - 1}L, 3) AS int)"))
+    asked = pairs.where(byte.bitwiseAND(F.expr("shiftleft(1, CAST(pair & 7L AS int))")) != 0)
+    counted = asked.groupBy("pair").agg(F.count("*").alias("total"))
     return keyed.join(counted, "pair").select("context", "total")
 
 
