@@ -37,7 +37,7 @@ BULKY = """
                CASE WHEN o.weight IS NOT NULL AND o.converted_weight IS NOT NULL
                      AND (o.weight >= 20000 OR o.converted_weight >= 20000) THEN 'hang_nang' ELSE 'hang_nhe' END AS service_type,
                p.deliveryprovince AS deli_province, p.externallane
-        FROM shipping_order o
+        FROM delivered_order o
         JOIN sla_mart p ON p.ordercode = o.order_code
         LEFT JOIN dim_warehouse w ON w.warehouse_id = o.deliver_warehouse_id
         WHERE o.client_id = 3892833 AND o.dt >= '1995-01-01' AND o.dt < '2001-08-02'
@@ -75,7 +75,7 @@ PASSES = """
 )
 def _(t):
     return plans.hub_pass_weekly(
-        t("hub_scan"), t("truck_event"), t("shipping_order"), t("sla_mart"), t("dim_warehouse"), since=SINCE, as_of=AS_OF
+        t("hub_scan"), t("truck_event"), t("delivered_order"), t("sla_mart"), t("dim_warehouse"), since=SINCE, as_of=AS_OF
     )
 
 
@@ -214,7 +214,7 @@ def _(t):
                 WHEN o.client_id IN (3819710, 4447237) THEN 'TikTokShop' ELSE 'Khác' END AS client_label,
            count(*) AS total_orders,
            count(*) FILTER (WHERE o.status LIKE '%return%') AS fd_orders
-    FROM shipping_order o JOIN dim_warehouse w ON w.warehouse_id = o.deliver_warehouse_id
+    FROM shipping_order o JOIN hub_name w ON w.warehouse_id = o.deliver_warehouse_id
     WHERE o.dt > '1998-06-01' AND CAST(o.end_pick_time AS DATE) BETWEEN DATE '1999-01-01' AND DATE '1999-12-31'
       AND w.warehouse_name IN ('Supplier#000000001', 'Supplier#000000002', 'Supplier#000000003')
     GROUP BY 1, 2
@@ -223,7 +223,7 @@ def _(t):
 def _(t):
     return plans.failed_delivery_by_hub(
         t("shipping_order"),
-        t("dim_warehouse"),
+        t("hub_name"),
         created_after=date(1998, 6, 1),
         picked=(date(1999, 1, 1), date(1999, 12, 31)),
         hub_names=HUB_NAMES,

@@ -27,7 +27,7 @@ def established_reports(
         "hub_pass_weekly": lambda: plans.hub_pass_weekly(
             source("hub_scan"),
             source("truck_event"),
-            source("shipping_order"),
+            source("delivered_order"),
             source("sla_mart"),
             source("dim_warehouse"),
             since=P.WEEKLY_SINCE,
@@ -49,7 +49,7 @@ def established_reports(
         "compensation_extract": lambda: plans.compensation_extract(source("claim"), approved_since=P.CLAIMS_SINCE),
         "failed_delivery_by_hub": lambda: plans.failed_delivery_by_hub(
             source("shipping_order"),
-            source("dim_warehouse"),
+            source("hub_name"),
             created_after=P.FAILED_CREATED_AFTER,
             picked=P.FAILED_PICK_RANGE,
             hub_names=P.FLAGGED_HUBS,

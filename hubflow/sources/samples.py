@@ -52,6 +52,15 @@ VIEWS = {
                CAST(CAST(o_orderdate AS DATE) AS STRING) AS dt
         FROM orders
     """,
+    # The same orders by another day: the end of their delivery, one to five days later.
+    "delivered_order": """
+        SELECT order_code, client_id, deliver_warehouse_id, weight, converted_weight,
+               CAST(CAST(created_date + INTERVAL '1' DAY * CAST(1 + deliver_warehouse_id % 5 AS INT) AS DATE) AS STRING) AS dt
+        FROM shipping_order
+    """,
+    "hub_name": """
+        SELECT warehouse_id, warehouse_name FROM dim_warehouse
+    """,
     "sla_mart": """
         SELECT CASE WHEN o_orderkey % 50 = 49 THEN 'X' ELSE 'O' END || CAST(o_orderkey AS STRING) AS ordercode,
                CASE o_custkey % 6 WHEN 0 THEN '18692' WHEN 1 THEN '3892833' ELSE 'other' END AS clientid,
