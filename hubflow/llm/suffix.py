@@ -198,7 +198,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 50) -> DataFrame:
     shared = written(shared, "suffix-shared")
     bits = min(FILTER_BITS, max(16, (16 * shared.count()).bit_length()))
     segments = _segments(first, length, _bits(shared, bits), 0)
-    segments = written(segments.withColumn("segment", F.xxhash64("body")), "suffix-segments")
+    segments = written(segments.withColumn("segment", F.xxhash64("body")), "suffix-segments", "zstd")
     for level in range(1, LEVELS + 1):
         # Slim rows first: how often each distinct segment occurs, and how many a bucket has.
         distinct = written(segments.groupBy("bucket", "segment").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min(F.octet_length("body")).alias("size")), "suffix-distinct")
@@ -209,7 +209,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 50) -> DataFrame:
             break
         again = segments.join(hot, "bucket", "left_semi").select("id", "hash", "start", "bucket", "body")
         cut = _segments(again, length, None, level).withColumn("segment", F.xxhash64("body"))
-        segments = written(segments.join(hot, "bucket", "left_anti").select(*cut.columns).union(cut), "suffix-segments")
+        segments = written(segments.join(hot, "bucket", "left_anti").select(*cut.columns).union(cut), "suffix-segments", "zstd")
     several = many.select("bucket")
     # A bucket's only segment: all its windows have the same smallest document, and there is nothing to compare.
     alone = distinct.where("n > 1").join(several, "bucket", "left_anti")
