@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel handles at once inside a task; a longer text is handled alone.
 BLOCK_BYTES = 4 << 20
+#: Whether Spark deletes the shuffle files of a query when it ends, and not only when the driver drops its plan.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,11 +31,17 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is computed once.
 
-    Like checkpoint files, such tables stay until the cluster clears that folder.
+    Like checkpoint files, such tables stay until the cluster clears that folder. The shuffle files behind the table are of no
+    more use and are deleted; the session's own setting for that holds again afterwards.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=codec)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
