@@ -9,8 +9,9 @@ import re
 import numpy as np
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
-from hubflow.llm import crf, hilbert, packing, pii, queries, rp_forest, suffix, toxicity, vptree, weak_labels, winnow
+from hubflow.llm import common, crf, hilbert, packing, pii, queries, rp_forest, suffix, toxicity, vptree, weak_labels, winnow
 
 ODD = [(0, None), (1, ""), (2, " \n"), (3, "…"), (4, "the same text again and again " * 4), (5, "the same text again and again " * 4), (5, "the same text again and again " * 4), (6, "x" * 200_000), (7, "You 1d1ot! +1 (415) 555-0134 a@b.co")]
 
@@ -242,3 +243,9 @@ def test_odd_rows_and_empty_tables(odd, empty, name):
     assert {r.doc_id for r in got} == set(range(8))
     assert name == "packing" or len(got) == len(ODD)
     assert OPERATORS[name](empty).collect() == []
+
+
+def test_written_table_leaves_the_session_setting(spark):
+    before = spark.conf.get(common.CLEANUP)
+    rows = common.written(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    assert rows.count() == 7 and spark.conf.get(common.CLEANUP) == before
