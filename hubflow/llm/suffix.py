@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hubflow.llm.common import Block, blocks, mixed, scaled, span_hasher, written
@@ -17,6 +17,8 @@ GRAM = 20
 BROADCAST_ROWS, FILTER_BITS, SEGMENTS_PER_TASK, HOT_BUCKET, LEVELS = 1_000_000, 26, 60_000, 100_000, 4
 #: Segments that are sorted together inside a task, unless one bucket has more.
 SEGMENTS_AT_ONCE = 1000
+#: Rows of a batch of single windows, and a code for each byte, for a second hash that is independent of the first.
+WINDOW_ROWS, BYTE_CODES = 1 << 16, mixed(np.arange(1, 257))
 
 
 def bucket_runs(block: Block, length: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -165,6 +167,44 @@ def _segments(rows: DataFrame, length: int, kept: np.ndarray | None, level: int)
     return rows.mapInArrow(cut, "id long, hash long, start long, bucket long, body binary")
 
 
+def _windows(bodies: DataFrame, length: int) -> DataFrame:
+    """Every window of segments ``bucket, segment, body, least, n``: its first byte, and its bytes as a hash of 128 bits."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("body")):
+                low, high = span_hasher(block.data), span_hasher(BYTE_CODES[block.data])
+                many = np.diff(block.at) - length + 1  # a segment has one window at least
+                before = np.cumsum(many) - many
+                for at in range(0, int(many.sum()), WINDOW_ROWS):
+                    nth = np.arange(at, min(at + WINDOW_ROWS, int(many.sum())))
+                    who = np.searchsorted(before, nth, side="right") - 1
+                    first = nth - before[who]
+                    start = block.at[who] + first
+                    take = pa.array(who + block.first)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(c).take(take) for c in ("bucket", "segment", "least", "n")), pa.array(first), *(pa.array(h(start, start + length).view(np.int64)) for h in (low, high))],
+                        ["bucket", "segment", "least", "n", "first", "low", "high"],
+                    )
+
+    return bodies.select("bucket", "segment", "body", "least", "n").mapInArrow(cut, "bucket long, segment long, least long, n long, first long, low long, high long")
+
+
+def _met_by_window(bodies: DataFrame, length: int) -> DataFrame:
+    """What ``least_documents`` finds, for segments of buckets of any size: equal windows meet by their own hash.
+
+    The smallest id of a window is pre-aggregated before its shuffle, and joined back only where several segments or
+    documents hold the window; a window that very many segments hold is a skewed join key, split at run time.
+    """
+    windows = _windows(bodies, length)
+    shared = windows.groupBy("low", "high").agg(F.min("least").alias("smallest"), F.sum("n").alias("held")).where("held > 1").drop("held")
+    met = windows.join(shared, ["low", "high"]).where("n > 1 OR smallest < least")
+    # Neighbouring windows with the same smallest document are one run again.
+    run = F.col("first") - F.row_number().over(Window.partitionBy("bucket", "segment", "smallest").orderBy("first"))
+    runs = met.select("bucket", "segment", "first", "smallest", run.alias("run")).groupBy("bucket", "segment", "smallest", "run")
+    return runs.agg(F.min("first").alias("first"), (F.max("first") + 1).alias("end")).select("bucket", "segment", "first", "end", F.col("smallest").alias("least"))
+
+
 def repeated_spans(docs: DataFrame, *, length: int = 50) -> DataFrame:
     """``id, hash, spans`` of rows with bytes that a smaller document holds too; ``spans`` are sorted ``start, stop`` pairs that may overlap.
 
@@ -175,7 +215,8 @@ def repeated_spans(docs: DataFrame, *, length: int = 50) -> DataFrame:
     runs of windows by bucket; a bucket that only one text has cannot repeat. Of those that remain, distinct segments
     meet once, with their smallest id, whatever the number of documents that hold them, and the suffix array of
     a bucket's segments gives every window's smallest document. A bucket with very many distinct segments is cut again
-    by another hash, so that equal windows still meet but others part.
+    by another hash, so that equal windows still meet but others part. A passage that very many distinct neighbours
+    surround keeps its bucket large under any hash of grams; there, single windows meet by a hash of all their bytes.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("hash", F.xxhash64("text"))
@@ -211,12 +252,17 @@ def repeated_spans(docs: DataFrame, *, length: int = 50) -> DataFrame:
         cut = _segments(again, length, None, level).withColumn("segment", F.xxhash64("body"))
         segments = written(segments.join(hot, "bucket", "left_anti").select(*cut.columns).union(cut), "suffix-segments", "zstd")
     several = many.select("bucket")
+    few = several if hot.isEmpty() else many.where(F.col("distinct_segments") <= HOT_BUCKET).select("bucket")
     # A bucket's only segment: all its windows have the same smallest document, and there is nothing to compare.
     alone = distinct.where("n > 1").join(several, "bucket", "left_anti")
     alone = alone.select("bucket", "segment", F.lit(0).cast("long").alias("first"), (F.col("size") - (length - 1)).cast("long").alias("end"), "least")
-    tasks = scaled(distinct.join(several, "bucket", "left_semi").count(), SEGMENTS_PER_TASK, 1)
-    bodies = segments.join(several, "bucket", "left_semi").groupBy("bucket", "body").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    bodies = bodies.withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks))).withColumn("segment", F.xxhash64("body"))
+    tasks = scaled(distinct.join(few, "bucket", "left_semi").count(), SEGMENTS_PER_TASK, 1)
+
+    def bodies_of(buckets: DataFrame) -> DataFrame:
+        bodies = segments.join(buckets, "bucket", "left_semi").groupBy("bucket", "body").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+        return bodies.withColumn("segment", F.xxhash64("body"))
+
+    bodies = bodies_of(few).withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks)))
 
     def expand(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("bucket")
@@ -238,7 +284,10 @@ def repeated_spans(docs: DataFrame, *, length: int = 50) -> DataFrame:
         return pa.table({c: np.concatenate([f[i] for f in found]) for i, c in enumerate(names)})
 
     compared = bodies.groupBy("task").applyInArrow(expand, "bucket long, segment long, first long, end long, least long")
-    found = written(compared.union(alone), "suffix-found")
+    found = compared.union(alone)
+    if not hot.isEmpty():
+        found = found.union(_met_by_window(written(bodies_of(hot), "suffix-hot", "zstd"), length))
+    found = written(found, "suffix-found")
     hits = segments.select("id", "hash", "start", "bucket", "segment").join(found, ["bucket", "segment"]).where("least < id")
     hits = hits.select("id", "hash", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("end") + (length - 1)).alias("stop"))
     hits = hits.union(copies.select("id", "hash", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")))

@@ -55,6 +55,22 @@ def test_suffix_array_matches_brute_force(spark, odd, monkeypatch):
         assert got == brute_spans(plain)
 
 
+def test_phrases_amid_many_neighbours_leave_no_large_bucket(spark, monkeypatch):
+    from pyspark.sql import GroupedData
+
+    monkeypatch.setattr(suffix, "HOT_BUCKET", 60)
+    compared, apply = [], GroupedData.applyInArrow
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, *a: (compared.append(self._df), apply(self, *a))[1])
+    rng = random.Random(9)
+    words = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    phrases = [words(n) for n in (40, 49, 80)]
+    rows = [(i, words(70) + phrases[i % 3] + words(70)) for i in range(900)]
+    got = {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_spans(rows)
+    (bodies,) = compared
+    assert (bodies.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0) <= 60
+
+
 def test_hilbert_curve_visits_each_cell_once_in_steps_of_one():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     index = hilbert.curve_index(grid, 3)
