@@ -157,8 +157,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return span_hasher(data)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
-def hashed_sample(rows: DataFrame, key: str, size: int, total: int) -> DataFrame:
-    """About ``size`` of ``total`` rows, chosen by a hash of ``key`` alone; all rows if there are fewer."""
+def hashed_sample(rows: DataFrame, key: str, size: int, total: int, spare: str | None = None) -> DataFrame:
+    """About ``size`` of ``total`` rows, chosen by a hash of ``key`` alone, or of ``spare`` where that is null; all rows if there are fewer."""
     if total <= size:
         return rows
-    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < F.lit(int((1 << 30) * size / total)))
+    keys = [F.col(key)] if spare is None else [F.col(key), F.when(F.col(key).isNull(), F.col(spare))]  # a null adds nothing to a hash
+    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(1 << 30)) < F.lit(int((1 << 30) * size / total)))

@@ -166,15 +166,12 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 1
     return weights
 
 
-def quality(docs: DataFrame, *, training_rows: int = TRAINING_ROWS, threshold: float = 0.5) -> DataFrame:
-    """``doc_id, score, keep`` per row: the probability that a text is well-formed prose, and whether it passes.
+def learn(docs: DataFrame, *, training_rows: int = TRAINING_ROWS) -> np.ndarray:
+    """Weights of the scorer.
 
     All rows vote on all rows: seven overlapping labellers judge every whole text, and the counts of their vote patterns
     (at most 3 ** 7) are what expectation-maximisation sees. The scorer is then fitted on about ``training_rows``
-    rows chosen by a hash of doc_id, with posteriors as labels, and scores every row. No given label is used.
-
-    Null, empty and blank texts have score 0 and do not pass. Repeated rows get equal scores. An empty table gives no
-    row. A text of any length counts whole. Other columns are ignored.
+    rows chosen by a hash of doc_id (of the text where it is null), with posteriors as labels. No given label is used.
     """
     slim = docs.select("doc_id", "text")
 
@@ -208,25 +205,47 @@ def quality(docs: DataFrame, *, training_rows: int = TRAINING_ROWS, threshold: f
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = hashed_sample(slim, "doc_id", training_rows, sum(patterns.values())).mapInArrow(features, f"doc_id {kind}, ids array<long>, share array<double>, pattern long")
+    sample = hashed_sample(slim, "doc_id", training_rows, sum(patterns.values()), spare="text").mapInArrow(features, f"doc_id {kind}, ids array<long>, share array<double>, pattern long")
     rows = sorted(((r.doc_id, r.ids, r.share, posterior[r.pattern]) for r in sample.collect() if r.ids), key=lambda r: (r[0] is None, r[0], r[1]))
-    weights = fit_scorer([(np.array(r[1], np.int64), np.array(r[2]), r[3]) for r in rows])
+    return fit_scorer([(np.array(r[1], np.int64), np.array(r[2]), r[3]) for r in rows])
+
+
+def scores(block: Block, weights: np.ndarray) -> np.ndarray:
+    """The probability that each text is well-formed prose; it depends on the text alone."""
+    t = tokens_of(block)
+    total = np.zeros(len(block))
+    for ids in feature_ids(t):
+        total += np.bincount(t.owner, weights=weights[ids], minlength=len(block))
+    value = 1 / (1 + np.exp(-np.clip(total / np.maximum(t.n, 1) + weights[-1], -30, 30)))
+    return np.where(t.n > 0, value, 0.0)
+
+
+def quality(docs: DataFrame, *, training_rows: int = TRAINING_ROWS, threshold: float = 0.5) -> DataFrame:
+    """``doc_id, score, keep`` per row: the probability that a text is well-formed prose, and whether it passes.
+
+    The scorer that ``learn`` fits scores every row, also one with a null doc_id.
+
+    Null, empty and blank texts have score 0 and do not pass. Repeated rows get equal scores. An empty table gives no
+    row. A text of any length counts whole. Other columns are ignored.
+    """
+    weights = learn(docs, training_rows=training_rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
-                t = tokens_of(block)
-                total = np.zeros(len(block))
-                for ids in feature_ids(t):
-                    total += np.bincount(t.owner, weights=weights[ids], minlength=len(block))
-                value = 1 / (1 + np.exp(-np.clip(total / np.maximum(t.n, 1) + weights[-1], -30, 30)))
-                value = np.where(t.n > 0, value, 0.0)
+                value = scores(block, weights)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, len(block)), pa.array(value), pa.array(value >= threshold)], ["doc_id", "score", "keep"])
 
-    return slim.mapInArrow(score, f"doc_id {kind}, score double, keep boolean")
+    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, keep boolean")
+
+
+def without_low_quality(docs: DataFrame, *, training_rows: int = TRAINING_ROWS, threshold: float = 0.5) -> DataFrame:
+    """The documents, all columns, that pass. Each row is judged by its own text, whatever its doc_id, also a null one."""
+    weights = learn(docs, training_rows=training_rows)
 
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                yield batch.slice(block.first, len(block)).filter(pa.array(scores(block, weights) >= threshold))
 
-def without_low_quality(docs: DataFrame, **options) -> DataFrame:
-    """The documents, all columns, that pass. Rows that share a doc_id stay or go together, by the best of their scores."""
-    keep = quality(docs, **options).where("keep").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    return docs.mapInArrow(passing, docs.schema)

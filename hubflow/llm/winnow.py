@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hubflow.llm.common import LOWER, Block, blocks, flag_table, mixed, span_hashes, word_spans, written
@@ -151,9 +151,15 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
-    """The documents, all columns, whose doc_id has no row with a benchmark hit.
+    """The documents, all columns, that hold no benchmark window. Each row is judged by its own text, whatever its doc_id.
 
-    A null doc_id never matches, so such a row stays only if the caller gives it an id; duplicates of a row share its fate.
+    A hit depends on the text alone, so a digest of 128 bits of the text names the rows to drop; a null doc_id and one that
+    several rows share make no difference, and rows without a text have no hit.
     """
-    dirty = benchmark_hits(docs, benchmark, window=window).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+    named = docs.select(_digest().alias("doc_id"), "text")
+    dirty = benchmark_hits(named, benchmark, window=window).where("n_hit > 0").select(F.col("doc_id").alias("dirty_digest")).distinct()
+    return docs.join(dirty, _digest() == F.col("dirty_digest"), "left_anti").select(*docs.columns)
+
+
+def _digest() -> Column:
+    return F.md5(F.col("text").cast("binary"))

@@ -11,6 +11,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from hubflow.llm import common, crf, hilbert, packing, pii, queries, rp_forest, suffix, toxicity, vptree, weak_labels, winnow
 
 ODD = [(0, None), (1, ""), (2, " \n"), (3, "…"), (4, "the same text again and again " * 4), (5, "the same text again and again " * 4), (5, "the same text again and again " * 4), (6, "x" * 200_000), (7, "You 1d1ot! +1 (415) 555-0134 a@b.co")]
@@ -261,6 +262,36 @@ def test_odd_rows_and_empty_tables(odd, empty, name):
     assert OPERATORS[name](empty).collect() == []
 
 
+def stages(spark, rows):
+    """What each stage of the pipeline makes of the same rows, read from a table like the one that the stage before writes."""
+    docs = common.written(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3), "test-stage")
+    return {name: stage(spark, docs, SMALL).collect() for name, stage in corpus_pipeline.STAGES}
+
+
+def prose(spark, n):
+    """Good documents without benchmark passages or near copies, and a benchmark text."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    good = weak_labels.without_low_quality(docs)
+    clean = vptree.without_near_duplicates(winnow.decontaminated(good, spark.read.parquet(f"{SMALL}/benchmark.parquet")))
+    texts = [r.text for r in clean.where("length(text) > 400").orderBy("doc_id").limit(n).collect()]
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy(F.desc(F.length("text")), "item_id").first().text
+    assert len(texts) == n
+    return texts, bench
+
+
+def test_rows_with_a_null_id_pass_each_stage_by_their_text(spark):
+    texts, bench = prose(spark, 12)
+    junk = "%$ ## @@ 00 ]] {{ " * 40
+    rows = [(None if i % 2 else i, t, "en", "s") for i, t in enumerate(texts)] + [(None, f"{texts[0]} {bench}", "en", "s"), (None, junk, "en", "s"), (None, None, "en", "s")]
+    got = stages(spark, rows)
+    kept = {name: [r.text for r in found] for name, found in got.items() if name != "packing"}
+    assert set(texts) <= set(kept["quality"]) and junk not in kept["quality"] and None not in kept["quality"]
+    assert sorted(kept["decontamination"], key=str) == sorted([*texts, junk, None], key=str)
+    assert len(kept["personal_data"]) == len(rows)
+    assert sum(r.length for r in got["packing"]) == sum(r.doc_tokens for r in got["packing"] if r.start == 0)
+    assert sum(r.start == 0 for r in got["packing"]) == len(rows)
+
+
 def test_written_table_leaves_the_session_setting(spark):
     before = spark.conf.get(common.CLEANUP)
     rows = common.written(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "test")
