@@ -233,11 +233,14 @@ def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, max_bits: in
 
 
 def without_near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """One document of each group, all columns: the one with the group's smallest doc_id.
+    """One row of each group, all columns: of the rows with the group's smallest doc_id (null counts as larger than all) the first.
 
-    Rows that share a doc_id are one document and share its fate. A row with a null doc_id stays only if it has an
-    id to be named by; give ids first.
+    Rows are told apart by a key that is written with them, so a repeated row, one whose doc_id another row has too and one
+    without a doc_id are rows of their own.
     """
-    groups = near_duplicates(docs, words_per_shingle=words_per_shingle, max_bits=max_bits)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    row = F.monotonically_increasing_id()
+    keyed = written(docs.select(row.alias("survivor_row"), *docs.columns), "near-duplicate-rows")
+    named = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("survivor_row").alias("row")).alias("doc_id"), "text")
+    groups = near_duplicates(named, words_per_shingle=words_per_shingle, max_bits=max_bits)
+    keep = groups.where("doc_id.row = component_id.row").select(F.col("doc_id.row").alias("survivor_row"))
+    return keyed.join(keep, "survivor_row", "left_semi").select(*docs.columns)

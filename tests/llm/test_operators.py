@@ -286,12 +286,25 @@ def test_rows_with_a_null_id_pass_each_stage_by_their_text(spark):
     got = stages(spark, rows)
     kept = {name: [r.text for r in found] for name, found in got.items() if name != "packing"}
     assert set(texts) <= set(kept["quality"]) and junk not in kept["quality"] and None not in kept["quality"]
+    assert set(texts) <= set(kept["near_duplicates"])
     assert sorted(kept["decontamination"], key=str) == sorted([*texts, junk, None], key=str)
     assert len(kept["personal_data"]) == len(rows)
     assert sum(r.length for r in got["packing"]) == sum(r.doc_tokens for r in got["packing"] if r.start == 0)
     assert sum(r.start == 0 for r in got["packing"]) == len(rows)
 
 
+def test_rows_that_share_an_id_are_judged_one_by_one(spark):
+    texts, bench = prose(spark, 3)
+    a, b, c = texts
+    junk, dirty = "%$ ## @@ 00 ]] {{ " * 40, f"{a} {bench}"
+    rows = [(3, b), (5, a), (5, b), (7, c), (7, c), (7, c), (8, junk), (8, a), (9, dirty), (9, c)]
+    got = stages(spark, [(i, t, "en", "s") for i, t in rows])
+    found = {name: sorted((r.doc_id, r.text) for r in got[name]) for name in ("quality", "near_duplicates", "decontamination")}
+    assert (8, junk) not in found["quality"] and (8, a) in found["quality"]
+    assert [x for x in found["near_duplicates"] if x[1] in texts] == sorted([(3, b), (5, a), (7, c)])
+    assert found["decontamination"] == sorted(x for x in rows if x[1] != dirty)
+
+
 def test_written_table_leaves_the_session_setting(spark):
     before = spark.conf.get(common.CLEANUP)
     rows = common.written(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "test")
