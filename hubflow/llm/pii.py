@@ -32,6 +32,13 @@ FORM = {
     "card": r"^[0-9](?:[\x20./-]?[0-9]){11,18}$",
     "phone": r"^\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,14}$",
 }
+#: Quotes and brackets before a token, also a round one unless it opens an area code; marks after it; a name before = or : in it.
+LEAD = r"(?:[\"'\[<{]|\((?![0-9]{1,5}\)))*"
+TAIL = r"[].,;:!?)}>\"']+$"
+IP = FORM["ip"].strip("^$")
+NAME = rf"^(?:\S*?[A-Za-z_][=:](?={IP}$)|\S*[A-Za-z_][=:](?=\S))"
+#: What may be glued to a base match: quotes, brackets and a name.
+GLUED = r"^[\"'\[<{(]*(\S*[A-Za-z_][=:])?[\"'\[<{(]*$"
 #: Characters to the left that hold a context.
 REACH = 64
 #: Bits of one of Spark's bitmaps, and of the filter of word pairs that is made of sixteen.
@@ -68,16 +75,38 @@ def _holds(kind: str, value: str) -> str:
     return "true"
 
 
+def _left(text: str, start: str) -> str:
+    """SQL for the characters before a place that may hold its context."""
+    return f"substring({text}, greatest(1, {start} - {REACH - 1}), least({start}, {REACH}))"
+
+
+def _plain(words: str) -> str:
+    return f"regexp_replace(lower({words}), '[0-9]', '0')"
+
+
 def _context(text: str, start: str) -> str:
-    """SQL for the two words before a place, lower-cased, digits as 0, with one blank for white space; null without two words."""
-    window = f"substring({text}, greatest(1, {start} - {REACH - 1}), least({start}, {REACH}))"
+    """SQL for the two words before a place (one, if the text starts with it), lower-cased, digits as 0, with one blank for white space; or null."""
     # A word cut off by the window's left end is no word.
-    words = rf"regexp_extract({window}, IF({start} > {REACH}, r'\s(\S+\s+\S+\s+)$', r'(?:^|\s)(\S+\s+\S+\s+)$'), 1)"
-    return f"nullif(regexp_replace(regexp_replace(lower({words}), '[0-9]', '0'), r'\\s+', ' '), '')"
+    words = rf"regexp_extract({_left(text, start)}, IF({start} > {REACH}, r'\s(\S+\s+\S+\s+)$', r'(?:^|\s)((?:\S+\s+)?\S+\s+)$'), 1)"
+    return f"nullif(regexp_replace({_plain(words)}, r'\\s+', ' '), '')"
+
+
+def _contexts(name: str, left: str) -> str:
+    """SQL for the contexts of a token: the words before it, or the name glued to it, alone and with the words before."""
+    return f"filter(IF({name} = '', array({left}), array({name}, concat({left}, {name}))), c -> c IS NOT NULL)"
+
+
+def _name(core: str) -> str:
+    """SQL for the name before = or : that a token without quotes, brackets and closing marks starts with, or ''. An address of groups has none."""
+    return f"IF({core} RLIKE {_quoted(FORM['ip'])}, '', regexp_extract({core}, {_quoted(NAME)}, 0))"
+
+
+def _core(value: str) -> str:
+    return f"regexp_replace(regexp_replace({value}, {_quoted('^' + LEAD)}, ''), {_quoted(TAIL)}, '')"
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, text_hash, base, other`` per row: base spans of all kinds in order, and other identifier-like tokens, with contexts."""
+    """``row, doc_id, text_hash, base, other`` per row: base spans of all kinds in order, and other identifier-like tokens, each with its contexts."""
     slim = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     found = slim
     for kind in KINDS:
@@ -88,18 +117,22 @@ def located(docs: DataFrame) -> DataFrame:
         regex = CANDIDATE if kind == "other" else MATCH[kind]
         empty = "CAST(array() AS array<struct<start:int,stop:int,value:string>>)"
         found = found.withColumn(f"s_{kind}", F.expr(f"IF(size(m_{kind}) > 0, {_spans('text', f'm_{kind}', regex)}, {empty})"))
+    # Quotes and marks around a token are not part of it; a name before = or : is its context.
+    glued = f"regexp_extract({_left('text', 'x.start')}, r'\\S*$', 0)"
+    named = f"IF(length(x.glued) < {REACH} AND x.glued RLIKE {_quoted(GLUED)}, {_plain(f'regexp_extract(x.glued, {_quoted(GLUED)}, 1)')}, NULL)"
+    before = _context("text", "(x.start - length(x.glued))")
     base = ", ".join(
-        f"transform(filter(s_{kind}, x -> {_holds(kind, 'x.value')}), x -> named_struct('start', x.start, 'rank', {rank}, 'stop', x.stop, 'value', x.value, 'context', {_context('text', 'x.start')}))"
+        f"transform(transform(filter(s_{kind}, x -> {_holds(kind, 'x.value')}), x -> named_struct('start', x.start, 'stop', x.stop, 'value', x.value, 'glued', {glued})), "
+        f"x -> named_struct('start', x.start, 'rank', {rank}, 'stop', x.stop, 'value', x.value, 'contexts', {_contexts(named, before)}))"
         for rank, kind in enumerate(KINDS)
     )
-    # Quotes and closing marks around a token are not part of it; a name before = or : belongs to its context.
-    name = r"r'^\S*[A-Za-z_][=:](?=\S)'"
-    lead = f"length(regexp_extract(x.value, r'^[\"\\x27\\[<]*', 0))"
-    core = f"regexp_replace(substring(x.value, {lead} + 1), r'[].,;:!?)}}>\"\\x27]+$', '')"
-    inner = f"regexp_extract({core}, {name}, 0)"
+    lead = f"length(regexp_extract(x.value, {_quoted('^' + LEAD)}, 0))"
+    inner = f"regexp_extract(substring(y.core, length(y.name) + 1), {_quoted('^' + LEAD)}, 0)"
     other = (
-        f"transform(transform(s_other, x -> named_struct('start', x.start + {lead} + length({inner}), 'value', substring({core}, length({inner}) + 1), 'name', lower({inner}), 'left', {_context('text', f'(x.start + {lead})')})), "
-        "y -> named_struct('start', y.start, 'stop', y.start + length(y.value), 'value', y.value, 'context', IF(y.name = '', y.left, concat(coalesce(y.left, ''), y.name))))"
+        f"transform(transform(transform(s_other, x -> named_struct('start', x.start + {lead}, 'core', {_core('x.value')}, 'left', {_context('text', 'x.start')})), "
+        f"x -> named_struct('start', x.start, 'core', x.core, 'left', x.left, 'name', {_name('x.core')})), "
+        f"y -> named_struct('start', y.start + length(y.name) + length({inner}), 'stop', y.start + length(y.core), "
+        f"'value', substring(y.core, length(y.name) + length({inner}) + 1), 'contexts', {_contexts(_plain('y.name'), 'y.left')}))"
     )
     found = found.withColumn("base", F.expr(f"array_sort(concat({base}))"))
     found = found.withColumn("other", F.expr(other))
@@ -115,40 +148,50 @@ def _flags(pairs: DataFrame) -> Column:
 
 
 def context_totals(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """``context, total``: how often each of the given two-word contexts stands anywhere, whatever follows.
+    """``context, total``: how often each of the given contexts (``context, led``) stands anywhere, whatever follows.
 
-    A filter of fixed size drops most other pairs of words at the scan; what passes is counted per task before it is
-    shuffled, and only the counts meet the contexts. Pairs that pass by chance find no context there.
+    A filter of fixed size drops most other words at the scan; what passes is counted per task before it is
+    shuffled, and only the counts meet the contexts. Words that pass by chance find no context there. A context
+    stands at least as often as it led to a candidate.
     """
     words = "filter(split(regexp_replace(lower(text), '[0-9]', '0'), r'\\s+'), w -> w <> '')"
-    pairs = docs.select(F.expr(words).alias("w")).select(F.explode(F.expr("transform(slice(w, 1, greatest(size(w) - 1, 0)), (x, i) -> xxhash64(x, w[i + 1]))")).alias("pair"))
-    keyed = written(contexts.withColumn("pair", F.expr("xxhash64(split(context, ' ')[0], split(context, ' ')[1])")), "pii-pairs")
+    pairs = "transform(slice(w, 1, greatest(size(w) - 1, 0)), (x, i) -> xxhash64(x, w[i + 1]))"
+    first = "IF(size(w) > 0, array(xxhash64(w[0], '')), CAST(array() AS array<bigint>))"
+    names = f"filter(transform(w, (x, i) -> named_struct('name', IF(contains(x, ':') OR contains(x, '='), {_name(_core('x'))}, ''), 'i', i)), y -> y.name <> '')"
+    with_words = "CASE y.i WHEN 0 THEN NULL WHEN 1 THEN xxhash64(w[0], '', y.name) ELSE xxhash64(get(w, y.i - 2), get(w, y.i - 1), y.name) END"
+    named = f"flatten(transform({names}, y -> filter(array(xxhash64('', y.name), {with_words}), h -> h IS NOT NULL)))"
+    pairs = docs.select(F.expr(words).alias("w")).select(F.explode(F.expr(f"concat({pairs}, {first}, {named})")).alias("pair"))
+    part = "split(context, ' ')"
+    key = (
+        f"CASE WHEN context LIKE '% ' THEN xxhash64({part}[0], {part}[1]) WHEN size({part}) = 1 THEN xxhash64('', context) "
+        f"WHEN size({part}) = 2 THEN xxhash64({part}[0], '', {part}[1]) ELSE xxhash64({part}[0], {part}[1], {part}[2]) END"
+    )
+    keyed = written(contexts.withColumn("pair", F.expr(key)), "pii-pairs")
     byte = F.get(_flags(keyed), F.expr(f"CAST(shiftright(pair & {SLOTS - 1}L, 3) AS int)"))
     asked = pairs.where(byte.bitwiseAND(F.expr("shiftleft(1, CAST(pair & 7L AS int))")) != 0)
     counted = asked.groupBy("pair").agg(F.count("*").alias("total"))
-    return keyed.join(counted, "pair").select("context", "total")
+    return keyed.join(counted, "pair", "left").select("context", F.greatest(F.coalesce("total", F.lit(0)), "led").alias("total"))
 
 
 def learned(docs: DataFrame, spans: DataFrame, *, rounds: int, confidence: float, support: int) -> DataFrame:
-    """``context, rank``: contexts that lead to identifiers of a kind, scored on the graph of contexts and instances.
+    """``context, rank, led``: contexts that lead to identifiers of a kind, scored on the graph of contexts and instances.
 
     An edge is a context with an instance that it precedes, weighted by occurrences. Seeds believe in their kind. In each
     round, a context's confidence is the share of all its occurrences in the corpus, followed by an instance or by
     ordinary words, that lead to believed instances; it counts with ``support`` distinct ones and ``confidence``.
     Instances of a fitting form after such a context are believed in the next round, also behind other contexts.
     """
-    base = spans.select(F.explode("base").alias("s")).select("s.context", "s.value", "s.rank")
-    other = spans.select(F.explode("other").alias("s")).select("s.context", "s.value", F.lit(None).cast("int").alias("rank"))
-    edges = base.union(other).where("context IS NOT NULL").groupBy("context", "value", "rank").agg(F.count("*").alias("n"))
+    base = spans.select(F.explode("base").alias("s")).select(F.explode("s.contexts").alias("context"), "s.value", "s.rank")
+    other = spans.select(F.explode("other").alias("s")).select(F.explode("s.contexts").alias("context"), "s.value", F.lit(None).cast("int").alias("rank"))
+    edges = base.union(other).groupBy("context", "value", "rank").agg(F.count("*").alias("n"))
     edges = written(edges, "pii-edges")
     # For no kind can a context gain support beyond its seeds of that kind and the instances of that kind's form.
     could = [F.count_if((F.col("rank") == i) | (F.col("rank").isNull() & F.col("value").rlike(FORM[k]))) for i, k in enumerate(KINDS)]
     wide = edges.groupBy("context").agg(F.greatest(*could).alias("instances"), F.sum("n").alias("led")).where(F.col("instances") >= support)
     wide = written(wide, "pii-contexts")
-    spoken = wide.where("context LIKE '% '")
-    totals = wide.where("NOT context LIKE '% '").select("context", F.col("led").alias("total"))
-    if not spoken.isEmpty():
-        totals = totals.union(context_totals(docs, spoken.select("context")))
+    totals = wide.select("context", F.col("led").alias("total"))
+    if not wide.isEmpty():
+        totals = context_totals(docs, wide.select("context", "led"))
     totals = written(totals, "pii-totals")
     edges = edges.join(totals.select("context"), "context", "left_semi")
     edges = written(edges, "pii-graph")
@@ -158,7 +201,7 @@ def learned(docs: DataFrame, spans: DataFrame, *, rounds: int, confidence: float
     for _ in range(rounds):
         led = edges.select("context", "value", "n").join(believed, "value").groupBy("context", "rank").agg(F.sum("n").alias("led"), F.countDistinct("value").alias("instances"))
         sure = led.join(totals, "context").where((F.col("instances") >= support) & (F.col("led") >= confidence * F.col("total")))
-        accepted = written(sure.groupBy("context").agg(F.max_by("rank", F.struct("led", -F.col("rank"))).alias("rank")), "pii-accepted")
+        accepted = written(sure.groupBy("context").agg(F.max_by("rank", F.struct("led", -F.col("rank"))).alias("rank"), F.max("led").alias("led")), "pii-accepted")
         fits = sum((F.when((F.col("rank") == i) & f, 1).otherwise(0) for i, f in enumerate(forms)), F.lit(0)) > 0
         found = edges.where("rank IS NULL").select("context", "value").join(accepted, "context").where(fits).select("value", "rank")
         believed = written(edges.where("rank IS NOT NULL").select("value", "rank").union(found).distinct(), "pii-believed")
@@ -181,10 +224,11 @@ def personal_data(docs: DataFrame, *, rounds: int = 3, confidence: float = 0.3,
     kind_fits = sum((F.when((F.col("rank") == i) & F.col("value").rlike(FORM[k]), 1).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0)) > 0
     more = (
         spans.select("row", F.explode("other").alias("s"))
-        .select("row", "s.*")
-        .where("context IS NOT NULL")
+        .select("row", "s.*", F.explode("s.contexts").alias("context"))
         .join(accepted, "context")
         .where(kind_fits)
+        .groupBy("row", "start", "stop")
+        .agg(F.max_by("rank", F.struct("led", -F.col("rank"))).alias("rank"))
         .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct("start", "rank", "stop"))).alias("added"))
     )

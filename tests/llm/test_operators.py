@@ -136,6 +136,23 @@ def test_contexts_of_seeds_find_other_forms_and_spare_prose(spark):
     assert not any(r.added for r in found if r.doc_id >= 100)
 
 
+def added_values(spark, texts):
+    rows = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {(pii.KINDS[x.rank], texts[r.doc_id][x.start : x.stop]) for r in rows for x in r.added}
+
+
+def test_seeds_glued_to_a_label_or_at_a_start_support_its_context(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("ghijklmnop") for _ in range(7))
+    seeds = lambda form: [form.format(i=i, w=word(), v=word()) for i in range(10)]
+    texts = [*seeds("{w} {v} email:u{i}@b.co {w}"), *seeds("{w} {v} phone=+1 415 555 01{i:02d}"), *seeds("mail <m{i}@b.co> now"), *seeds("{w} please write (n{i}@b.co) {w}"), *seeds("Reach s{i}@b.co {v}")]
+    wanted = {"ee(at)b.co", "415-555-0134", "mm(at)b.co", "nn(at)b.co", "rr(at)b.co"}
+    texts += ["odd ones email:ee(at)b.co", "other words phone=415-555-0134", "mail <mm(at)b.co> now", "x please write (nn(at)b.co)", "Reach rr(at)b.co"]
+    # A label that mostly leads to ordinary words is no context, even if what looks like an identifier there is one.
+    texts += [*seeds("{w} note:k{i}@b.co"), *(f"{word()} note:{word()}" for _ in range(60)), "a b note:zz(at)b.co"]
+    assert {v for _, v in added_values(spark, texts)} == wanted
+
+
 def test_language_on_held_out_rows(spark):
     rows = queries.op5_crf_language(spark, SMALL).toPandas().merge(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang").toPandas())
     held = rows[rows.held_out]
