@@ -23,8 +23,12 @@ MATCH = {
 }
 # A cheap test that a text must pass to hold the kind at all.
 HINT = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-#: Tokens that look like an identifier: three digits in a row, or a spelt-out at sign, with digit groups that follow.
-CANDIDATE = r"(?<!\S)\S*?(?:[0-9]{3}|[@]|[(\[]at[)\]])\S*+(?:[\x20-]\(?[0-9][0-9().-]*+)*+"
+#: Tokens that look like an identifier: three digits in a row, a spelt-out at sign, seven digits over separators, or groups of an
+#: address, with digit groups that follow. Whatever a form below accepts behind white space, a name or a quote starts like this.
+CANDIDATE = (
+    r"(?<!\S)\S*?(?:[0-9]{3}|[@]|[(\[]at[)\]]|[0-9](?:[\x20()./-]{0,2}[0-9]){6}|(?<![0-9A-Za-z])[0-9A-Fa-f]{1,4}(?:[.:][0-9A-Fa-f]{0,4}){2,6}[.:][0-9A-Fa-f])"
+    r"\S*+(?:[\x20()./-]{1,2}[0-9][0-9().-]*+)*+"
+)
 #: Forms that a learned context may add to each kind.
 FORM = {
     "email": r"^[A-Za-z0-9._%+-]+(?:@|\(at\)|\[at\])[A-Za-z0-9-]\S*$",

@@ -153,6 +153,25 @@ def test_seeds_glued_to_a_label_or_at_a_start_support_its_context(spark):
     assert {v for _, v in added_values(spark, texts)} == wanted
 
 
+@pytest.mark.parametrize(
+    ("kind", "values"),
+    [
+        ("phone", ["06 12 34 56 78", "12-34-56-78-90", "55/12/34/56/78", "(06) 12 34 56 78", "1 415 555 0134", "06  12  34  56  78", "5551234"]),
+        ("ip", ["fe80:0:a1:b2", "fe80::a1:b2", "10.0.0.300", "ab:cd:ef:0:1:2"]),
+        ("email", ["q(at)b.co", "q[at]b.co", "q@localhost"]),
+        ("card", ["4111/1111/1111/1112", "41 11 11 11 11 11 11 12"]),
+    ],
+)
+def test_every_form_is_found_behind_a_learned_context(spark, kind, values):
+    seed = {"phone": "+1 415 555 01{:02d}", "ip": "10.0.0.{}", "email": "u{}@b.co", "card": ""}[kind]
+    seeds = [seed.format(i) for i in range(20)]
+    if kind == "card":
+        seeds = [f"41111111111{i:04d}" for i in range(300) if holds("card", f"41111111111{i:04d}")][:20]
+    assert all(re.search(pii.FORM[kind], v) for v in values)
+    texts = [f"words then reach via {v} today" for v in seeds] + [f"words then reach via {v} today" for v in values]
+    assert added_values(spark, texts) == {(kind, v) for v in values}
+
+
 def test_language_on_held_out_rows(spark):
     rows = queries.op5_crf_language(spark, SMALL).toPandas().merge(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang").toPandas())
     held = rows[rows.held_out]
