@@ -178,7 +178,7 @@ def context_totals(docs: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def learned(docs: DataFrame, spans: DataFrame, *, rounds: int, confidence: float, support: int) -> DataFrame:
-    """``context, rank, led``: contexts that lead to identifiers of a kind, scored on the graph of contexts and instances.
+    """``context, rank, led``: contexts that lead to identifiers of a kind, one row for each such kind, scored on the graph of contexts and instances.
 
     An edge is a context with an instance that it precedes, weighted by occurrences. Seeds believe in their kind. In each
     round, a context's confidence is the share of all its occurrences in the corpus, followed by an instance or by
@@ -205,9 +205,11 @@ def learned(docs: DataFrame, spans: DataFrame, *, rounds: int, confidence: float
     for _ in range(rounds):
         led = edges.select("context", "value", "n").join(believed, "value").groupBy("context", "rank").agg(F.sum("n").alias("led"), F.countDistinct("value").alias("instances"))
         sure = led.join(totals, "context").where((F.col("instances") >= support) & (F.col("led") >= confidence * F.col("total")))
-        accepted = written(sure.groupBy("context").agg(F.max_by("rank", F.struct("led", -F.col("rank"))).alias("rank"), F.max("led").alias("led")), "pii-accepted")
+        accepted = written(sure.select("context", "rank", "led"), "pii-accepted")
         fits = sum((F.when((F.col("rank") == i) & f, 1).otherwise(0) for i, f in enumerate(forms)), F.lit(0)) > 0
-        found = edges.where("rank IS NULL").select("context", "value").join(accepted, "context").where(fits).select("value", "rank")
+        found = edges.where("rank IS NULL").select("context", "value").join(accepted, "context").where(fits)
+        # A value whose form fits several kinds of one context is of the kind that the context leads to most.
+        found = found.groupBy("context", "value").agg(F.max_by("rank", F.struct("led", -F.col("rank"))).alias("rank")).select("value", "rank")
         believed = written(edges.where("rank IS NOT NULL").select("value", "rank").union(found).distinct(), "pii-believed")
     return accepted
 

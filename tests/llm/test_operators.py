@@ -172,6 +172,12 @@ def test_every_form_is_found_behind_a_learned_context(spark, kind, values):
     assert added_values(spark, texts) == {(kind, v) for v in values}
 
 
+def test_a_context_of_two_kinds_finds_both(spark):
+    texts = [f"words contact me u{i}@b.co" for i in range(10)] + [f"words contact me +1 415 555 01{i:02d}" for i in range(8)]
+    texts += ["words contact me q(at)b.co", "words contact me 415-555-0134"]
+    assert added_values(spark, texts) == {("email", "q(at)b.co"), ("phone", "415-555-0134")}
+
+
 def test_language_on_held_out_rows(spark):
     rows = queries.op5_crf_language(spark, SMALL).toPandas().merge(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang").toPandas())
     held = rows[rows.held_out]
