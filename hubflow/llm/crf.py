@@ -7,16 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hubflow.llm.common import LOWER, Block, blocks, flag_table, hashed_sample, span_hasher, word_spans
+from hubflow.llm.common import LOWER, Block, blocks, flag_table, span_hasher, word_spans, written
 
 LETTERS = flag_table((97, 122), (128, 255))
 #: Words of a chain; a longer text is several chains. Hashed features.
 CHAIN, FEATURES = 32, 1 << 16
-#: Documents that the model is fitted on, about; chains of each; languages that it can learn.
-TRAINING_ROWS, CHAINS_PER_ROW, LANGUAGES = 1200, 4, 64
+#: Documents that the model is fitted on, about, but one of each language at least; chains of each.
+TRAINING_ROWS, CHAINS_PER_ROW = 1200, 4
+#: Rows of a language from which few are chosen exactly; posteriors of words by language that are held at once.
+SPARE_ROWS, POSTERIORS_AT_ONCE = 20, 1 << 24
 
 
 def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,14 +46,19 @@ def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
 
 @dataclass
 class Chain:
-    """Weights of the field: features by language, transitions between languages of neighbouring words, and starts."""
+    """Weights of the field: features by language, transitions between languages of neighbouring words, and starts.
+
+    Only features that training has seen have a row in ``weights``; ``place`` gives it, and the last row, of zeros, for all others.
+    """
 
     languages: list[str]
+    place: np.ndarray
     weights: np.ndarray
     moves: np.ndarray
     begin: np.ndarray
 
     def emissions(self, n: int, words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        ids = self.place[ids]
         return np.stack([np.bincount(words, weights=self.weights[ids, k], minlength=n) for k in range(len(self.languages))], axis=1)
 
     def forward_backward(self, scores: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -86,10 +93,11 @@ class Chain:
         chain = (np.cumsum(chains) - chains)[owner] + nth // CHAIN
         out = np.empty((len(starts), len(self.languages)))
         total = int(chains.sum())
-        for at in range(0, total, 4096):  # a block of chains at a time
-            mine = slice(*np.searchsorted(chain, [at, at + 4096]))
+        step = min(4096, max(1, POSTERIORS_AT_ONCE // (CHAIN * len(self.languages))))
+        for at in range(0, total, step):  # a block of chains at a time
+            mine = slice(*np.searchsorted(chain, [at, at + step]))
             c, t = chain[mine] - at, nth[mine] % CHAIN
-            scores = np.zeros((min(4096, total - at), CHAIN, len(self.languages)))
+            scores = np.zeros((min(step, total - at), CHAIN, len(self.languages)))
             scores[c, t] = known[back[mine]]
             out[mine] = self.forward_backward(scores, np.bincount(c, minlength=len(scores)))[0][c, t]
         sums = np.stack([np.bincount(owner, weights=out[:, k], minlength=rows) for k in range(out.shape[1])], axis=1)
@@ -105,7 +113,6 @@ def fit(chains: list[tuple[list[bytes], str]], rounds: int = 50, ridge: float =
     languages = sorted({lang for _, lang in chains})
     number = {lang: i for i, lang in enumerate(languages)}
     rng = np.random.default_rng(11)
-    model = Chain(languages, np.zeros((FEATURES, len(languages))), np.zeros((len(languages),) * 2), np.zeros(len(languages)))
     words: dict[bytes, int] = {}
     token, label, length = (np.zeros((len(chains), CHAIN), np.int64) for _ in range(3))
     length = np.zeros(len(chains), np.int64)
@@ -121,25 +128,34 @@ def fit(chains: list[tuple[list[bytes], str]], rounds: int = 50, ridge: float =
     sizes = np.array([len(w) for w in words])
     starts = np.cumsum(sizes + 1) - sizes - 1
     who, ids = word_features(np.frombuffer(raw, np.uint8), starts, starts + sizes)
+    seen = np.unique(ids)
+    place = np.full(FEATURES, len(seen))
+    place[seen] = np.arange(len(seen))
+    many = len(languages)
+    model = Chain(languages, place, np.zeros((len(seen) + 1, many)), np.zeros((many, many)), np.zeros(many))
     inside = np.arange(CHAIN)[None, :] < length[:, None]
-    truth = np.eye(len(languages))[label] * inside[:, :, None]
-    joined = inside[:, 1:]
-    pairs = np.einsum("nti,ntj->ij", truth[:, :-1] * joined[:, :, None], truth[:, 1:])
     speed = [np.full_like(x, 1e-6) for x in (model.weights, model.moves, model.begin)]
     n = float(inside.sum())
+    step = max(1, POSTERIORS_AT_ONCE // (CHAIN * many))
+    parts = [slice(at, at + step) for at in range(0, len(chains), step)]
     for _ in range(rounds):
-        scores = model.emissions(len(words), who, ids)[token] * inside[:, :, None]
-        post, f, b, e = model.forward_backward(scores, length)
-        a = np.exp(model.moves - model.moves.max())
-        # Expected pairs: forward of a word, move, emission and backward of the next, each pair summing to one.
-        after = e[:, 1:] * b[:, 1:]
-        whole = np.einsum("nti,ij,ntj->nt", f[:, :-1], a, after)
-        expected = np.einsum("nti,ntj->ij", f[:, :-1] * (joined / whole)[:, :, None], after) * a
-        error = (truth - post * inside[:, :, None]).reshape(-1, len(languages))
-        flat = token.ravel()
-        of_word = np.stack([np.bincount(flat, weights=error[:, k], minlength=len(words)) for k in range(len(languages))], axis=1)
-        slope = np.stack([np.bincount(ids, weights=of_word[who, k], minlength=FEATURES) for k in range(len(languages))], axis=1)
-        slopes = [slope / n - ridge * model.weights / n, (pairs - expected) / n, (truth[:, 0] - post[:, 0]).sum(axis=0) / n]
+        emitted, a = model.emissions(len(words), who, ids), np.exp(model.moves - model.moves.max())
+        of_word, of_move, of_begin = np.zeros((len(words), many)), np.zeros((many, many)), np.zeros(many)
+        for part in parts:  # a block of chains at a time, all of them in every round
+            ins, tok = inside[part], token[part]
+            truth = np.eye(many)[label[part]] * ins[:, :, None]
+            joined = ins[:, 1:]
+            post, f, b, e = model.forward_backward(emitted[tok] * ins[:, :, None], length[part])
+            # Expected pairs: forward of a word, move, emission and backward of the next, each pair summing to one.
+            after = e[:, 1:] * b[:, 1:]
+            whole = ((f[:, :-1] @ a) * after).sum(axis=2)
+            of_move += np.tensordot(truth[:, :-1] * joined[:, :, None], truth[:, 1:], ([0, 1], [0, 1]))
+            of_move -= np.tensordot(f[:, :-1] * (joined / whole)[:, :, None], after, ([0, 1], [0, 1])) * a
+            of_begin += (truth[:, 0] - post[:, 0]).sum(axis=0)
+            error, flat = (truth - post * ins[:, :, None]).reshape(-1, many), tok.ravel()
+            of_word += np.stack([np.bincount(flat, weights=error[:, k], minlength=len(words)) for k in range(many)], axis=1)
+        slope = np.stack([np.bincount(place[ids], weights=of_word[who, k], minlength=len(seen) + 1) for k in range(many)], axis=1)
+        slopes = [slope / n - ridge * model.weights / n, of_move / n, of_begin / n]
         for x, g, s in zip((model.weights, model.moves, model.begin), slopes, speed):
             s += g**2
             x += 0.3 * g / np.sqrt(s)
@@ -147,11 +163,11 @@ def fit(chains: list[tuple[list[bytes], str]], rounds: int = 50, ridge: float =
 
 
 def learn(docs: DataFrame, *, training_rows: int = TRAINING_ROWS) -> Chain | None:
-    """Fit on about ``training_rows`` rows with a language, chosen by a hash of doc_id, and on ``CHAINS_PER_ROW`` chains spread over each text."""
+    """Fit on about ``training_rows`` rows with a language, but on one of every language at least, chosen by a hash of doc_id, and on ``CHAINS_PER_ROW`` chains spread over each text."""
     named = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    total = named.count()
-    per_lang = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not per_lang:
+    per_lang = written(named.groupBy("lang").agg(F.count("*").alias("count")), "language-counts")
+    spoken = per_lang.count()
+    if not spoken:
         return None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,13 +188,16 @@ def learn(docs: DataFrame, *, training_rows: int = TRAINING_ROWS) -> Chain | Non
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     # Each language gives the same number of rows, so that a rare one is learned as well.
-    rows: list[tuple] = []
-    sample = None
-    for r in per_lang:
-        part = hashed_sample(named.where(F.col("lang") == r["lang"]), "doc_id", max(1, training_rows // len(per_lang)), r["count"])
-        sample = part if sample is None else sample.union(part)
-    if total:
-        rows = sorted(((r.doc_id, r.lang, r.chains) for r in sample.mapInArrow(cut, f"doc_id {kind}, lang string, chains array<array<binary>>").collect()))
+    size = max(1, training_rows // spoken)
+    # A share leaves a language out by chance if few rows are wanted; then more pass and the first by their hash are taken.
+    wanted = size if size >= SPARE_ROWS else size + SPARE_ROWS
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 30))
+    share = F.when(F.col("count") <= wanted, F.lit(1 << 30)).otherwise(F.floor(F.lit(float(wanted << 30)) / F.col("count")))
+    sample = named.join(per_lang, "lang").where(draw < share).select("doc_id", "lang", "text")
+    if size < SPARE_ROWS:
+        nth = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id", F.xxhash64("text")))
+        sample = sample.withColumn("nth", nth).where(F.col("nth") <= size).drop("nth")
+    rows = sorted(((r.doc_id, r.lang, r.chains) for r in sample.mapInArrow(cut, f"doc_id {kind}, lang string, chains array<array<binary>>").collect()))
     chains = [([bytes(w) for w in c], lang) for _, lang, cs in rows for c in cs if c]
     return fit(chains) if chains else None
 

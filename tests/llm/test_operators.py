@@ -198,6 +198,19 @@ def test_field_labels_both_sides_of_a_switch():
     assert abs(mean[0, 0] - 0.5) < 0.1
 
 
+def test_every_language_is_learned_however_many(spark):
+    rng = random.Random(8)
+    letters = "bcdfghjklmnpqrstvwxz"
+    tongues = [f"l{k:02d}" for k in range(70)]
+    words = {k: ["".join(rng.choice(letters) for _ in range(6)) for _ in range(4)] for k in tongues}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(24)), k) for i, k in enumerate(t for n, t in enumerate(tongues) for _ in range(60 if n < 3 else 2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = crf.learn(docs)
+    assert model.languages == tongues
+    said = {r.doc_id: r.lang_pred for r in crf.languages(docs, model).collect()}
+    assert np.mean([said[i] == k for i, _, k in rows]) >= 0.95 and set(said.values()) == set(tongues)
+
+
 def test_simhash_components_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vptree, "SHARD_ROWS", 16)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
