@@ -64,19 +64,22 @@ class Schedule:
     (j + 1/2) / T, and tokens are served in the order in which they fall due (ties: lower queue first). So a
     queue's deficit, entitlement less tokens given, stays within half a token per queue, and what it is at
     the start of a window follows from the totals alone: a task can carry on any deficit without its predecessor.
-    Targets are the shares of the whole corpus, the only ones that let all queues run dry in the last window.
+    Without ``rates``, targets are the shares of the whole corpus, the only ones that let all queues run dry in the last
+    window. With them, token j falls due at (j + 1/2) / rate, and what a dry queue leaves goes to the others by their rates.
     """
 
-    def __init__(self, totals: list[int]):
+    def __init__(self, totals: list[int], rates: list[float] | None = None):
         self.totals = np.array(totals, np.float64)
         self.n = int(sum(totals))
+        self.rates = self.totals if rates is None else np.array(rates, np.float64)
+        self.even = rates is None
 
     def _due_before(self, t: np.ndarray, also_equal: bool) -> np.ndarray:
         """Tokens of each queue that fall due before ``t`` (or at ``t``); exact for the rounded due times."""
         t = t[:, None]
-        count = np.clip(np.floor(t * self.totals + 0.5) - 1, 0, self.totals)
+        count = np.clip(np.floor(t * self.rates + 0.5) - 1, 0, self.totals)
         for _ in range(3):
-            due = (count + 0.5) / self.totals
+            due = (count + 0.5) / self.rates
             count = np.where((count < self.totals) & ((due <= t) if also_equal else (due < t)), count + 1, count)
         return count
 
@@ -84,8 +87,8 @@ class Schedule:
         """Tokens of each queue (columns) among the first ``house`` tokens (rows)."""
         house = np.minimum(house.astype(np.float64), self.n)
         slack = len(self.totals) + 1
-        low = np.maximum(0.0, (house - slack) / self.n)
-        high = (house + slack) / self.n
+        low = np.maximum(0.0, (house - slack) / self.n) if self.even else np.zeros(len(house))
+        high = (house + slack) / self.n if self.even else np.full(len(house), 1.0 + (self.totals / self.rates).max())
         while True:
             middle = (low + high) / 2
             if not ((middle > low) & (middle < high)).any():
@@ -99,25 +102,77 @@ class Schedule:
         turn = np.cumsum(due_now, axis=1)
         return (count + np.where(turn <= left, due_now, 0)).astype(np.int64)
 
+    def position(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """How many tokens of all queues are served before these tokens of queues."""
+        t = (token + 0.5) / self.rates[queue]
+        before = self._due_before(t, False)
+        level = self._due_before(t, True) - before
+        return (before.sum(axis=1) + np.where(np.arange(len(self.totals)) < queue[:, None], level, 0).sum(axis=1)).astype(np.int64)
+
+
+class Mixture:
+    """A schedule of any number of queues: beyond ``width`` of them, the smallest share a lane that has a schedule of its own.
+
+    A lane's schedule names the lane whose token is next, and the schedule inside the lane the queue. So each step looks at
+    ``width`` totals, and the deficit of a queue follows from the totals of the groups that it belongs to. ``totals`` are
+    sorted so that the first ones get lanes of their own.
+    """
+
+    def __init__(self, totals: list[int], rates: list[float] | None = None, width: int = 64, own: int = 0):
+        self.n = sum(totals)
+        self.schedules: list[Schedule] = []
+        self.path: list[list[tuple[int, int]]] = [[] for _ in totals]
+        todo = [(list(range(len(totals))), [], max(own, width - 1))]
+        while todo:
+            queues, above, alone = todo.pop()
+            if len(queues) <= max(width, alone):
+                groups = [[q] for q in queues]
+            elif not above:
+                groups = [[q] for q in queues[:alone]] + [queues[alone:]]
+            else:
+                size = -(-len(queues) // width)
+                groups = [queues[at : at + size] for at in range(0, len(queues), size)]
+            node = len(self.schedules)
+            sums = [sum(totals[q] for q in g) for g in groups]
+            self.schedules.append(Schedule(sums, None if rates is None else [sum(rates[q] for q in g) for g in groups]))
+            for child, group in enumerate(groups):
+                here = [*above, (node, child)]
+                if len(group) == 1:
+                    self.path[group[0]] = here
+                else:
+                    todo.append((group, here, 0))
+
+    def _steps(self, queue: np.ndarray, depth: int) -> Iterator[tuple[Schedule, np.ndarray, np.ndarray]]:
+        """Schedules of a depth with the rows whose queues they serve, and the lanes of these rows."""
+        node, lane = (np.array([self.path[q][depth][i] if depth < len(self.path[q]) else -1 for q in queue.tolist()], np.int64) for i in (0, 1))
+        for n in np.unique(node[node >= 0]).tolist():
+            rows = np.flatnonzero(node == n)
+            yield self.schedules[n], rows, lane[rows]
+
     def pieces(self, queue: np.ndarray, start: np.ndarray, stop: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
         """Cut token ranges of queues into windows: row, window, first and last token, and place in the window."""
-        # A due time gives the window but for what the queues' deficits can shift.
-        slack = 2 + len(self.totals) // window
-        last_window = (self.n - 1) // window
-        share = self.n / self.totals[queue] / window
-        first = np.maximum(0, np.floor((start + 0.5) * share).astype(np.int64) - slack)
-        last = np.minimum(last_window, np.floor((stop - 0.5) * share).astype(np.int64) + slack)
+        depths = range(max((len(self.path[q]) for q in np.unique(queue).tolist()), default=0))
+        first, last = start.astype(np.int64), stop.astype(np.int64) - 1
+        for depth in reversed(depths):
+            for schedule, rows, lane in self._steps(queue, depth):
+                first[rows], last[rows] = schedule.position(lane, first[rows]), schedule.position(lane, last[rows])
+        first, last = first // window, last // window
         many = last - first + 1
         row = np.repeat(np.arange(len(queue)), many)
         at = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        used, place = np.unique(at, return_inverse=True)
-        begin, end = self.served(used * window), self.served((used + 1) * window)
-        layout = np.cumsum(end - begin, axis=1) - (end - begin)
-        q = queue[row]
-        low, high = np.maximum(start[row], begin[place, q]), np.minimum(stop[row], end[place, q])
+        # Tokens of all queues, then of the lane, and in the end of the queue, before the window and up to its end.
+        begin, end, offset = at * window, np.minimum((at + 1) * window, self.n), np.zeros(len(at), np.int64)
+        for depth in depths:
+            for schedule, rows, lane in self._steps(queue[row], depth):
+                house, place = np.unique(np.concatenate([begin[rows], end[rows]]), return_inverse=True)
+                served, (a, b) = schedule.served(house), np.split(place, 2)
+                given = served[b] - served[a]
+                nth = np.arange(len(rows))
+                offset[rows] += np.cumsum(given, axis=1)[nth, lane] - given[nth, lane]
+                begin[rows], end[rows] = served[a, lane], served[b, lane]
+        low, high = np.maximum(start[row], begin), np.minimum(stop[row], end)
         keep = low < high
-        offset = layout[place, q] + low - begin[place, q]
-        return row[keep], at[keep], low[keep], high[keep], offset[keep]
+        return row[keep], at[keep], low[keep], high[keep], (offset + low - begin)[keep]
 
 
 def tokenized(docs: DataFrame, vocabulary: str, *, queue: str, closing_id: int) -> DataFrame:
@@ -146,14 +201,15 @@ def tokenized(docs: DataFrame, vocabulary: str, *, queue: str, closing_id: int)
     return named.mapInArrow(encode, "doc_id long, queue string, task int, before long, tokens long, ids binary")
 
 
-def pack(docs: DataFrame, vocabulary: str, *, queue: str = "source", window: int = 1024, closing_id: int = 0, queues: int = 64) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, *, queue: str = "source", window: int = 1024, closing_id: int = 0, queues: int = 64, shares: dict[str, float] | None = None) -> DataFrame:
     """Pack all documents into windows of ``window`` tokens that hold each source at its share of the corpus.
 
     One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue``. Every window is
     full but the last of all, so there is no other padding. Inside a window, queues stand in a fixed order.
 
-    A queue is a value of ``queue``; null is the queue "". Of more than ``queues`` values, the smallest share one
-    queue. Null and empty texts give one piece with the closing id alone. A repeated row (or doc_id) is
+    A queue is a value of ``queue``; null is the queue "". Of more than ``queues`` values, the smallest share a lane, in
+    which they are scheduled by their own shares. ``shares`` gives sources other target shares than those of the corpus;
+    sources that it does not name fill the rest at their shares, and what a dry source leaves goes to the others. Null and empty texts give one piece with the closing id alone. A repeated row (or doc_id) is
     packed once per row. A text of any length is cut over as many windows as it needs. An empty table gives
     no piece. Other columns are ignored, whatever their names.
 
@@ -162,15 +218,21 @@ def pack(docs: DataFrame, vocabulary: str, *, queue: str = "source", window: int
     """
     ids = written(tokenized(docs, vocabulary, queue=queue, closing_id=closing_id), "packing-ids")
     per_task = ids.groupBy("queue", "task").agg(F.sum("tokens").alias("tokens"))
-    largest = per_task.groupBy("queue").agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), "queue").limit(queues - 1).collect()
-    number = {r.queue: i for i, r in enumerate(largest)}
-    lookup = F.create_map(*(F.lit(x) for pair in number.items() for x in pair)) if number else F.create_map().cast("map<string,int>")
-    lane = F.coalesce(F.try_element_at(lookup, F.col("queue")), F.lit(len(number)))
-    per_task = per_task.withColumn("lane", lane)
-    totals = {r.lane: r.tokens for r in per_task.groupBy("lane").agg(F.sum("tokens").alias("tokens")).collect()}
-    schedule = Schedule([totals.get(i, 0) for i in range(len(totals))])
-    order = Window.partitionBy("lane").orderBy("task", "queue").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = per_task.select("queue", "task", "lane", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("ahead"))
+    named = shares or {}
+    if any(not 0 < x <= 1 for x in named.values()) or sum(named.values()) > 1 + 1e-9:
+        raise ValueError("target shares must be above 0 and sum up to 1 at most")
+    # One number per source; everything else stays in tables.
+    totals = [(r.queue, r.tokens) for r in per_task.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()]
+    totals.sort(key=lambda x: (x[0] not in named, -x[1], x[0]))
+    others = sum(n for q, n in totals if q not in named)
+    rest = 1 - sum(named.values())
+    if named and others and rest <= 1e-9:
+        raise ValueError("the target shares leave nothing for the sources that they do not name")
+    rates = [named[q] if q in named else rest * n / others for q, n in totals] if named else None
+    mixture = Mixture([n for _, n in totals], rates, queues, own=sum(q in named for q, _ in totals))
+    lanes = docs.sparkSession.createDataFrame([(q, i) for i, (q, _) in enumerate(totals)], "queue string, lane int")
+    order = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = per_task.join(lanes, "queue").select("queue", "task", "lane", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("ahead"))
     # Written, so that its size is known when the join is planned: a small one is broadcast, and no ids are shuffled.
     ahead = written(ahead, "packing-ahead")
 
@@ -180,7 +242,7 @@ def pack(docs: DataFrame, vocabulary: str, *, queue: str = "source", window: int
                 part = batch.slice(at, 1024)
                 begin = part.column("begin").to_numpy()
                 doc, tokens, raw = part.column("doc_id"), part.column("tokens").to_numpy(), part.column("ids").to_pylist()
-                row, sequence, low, high, offset = schedule.pieces(part.column("lane").to_numpy().astype(np.int64), begin, begin + tokens, window)
+                row, sequence, low, high, offset = mixture.pieces(part.column("lane").to_numpy().astype(np.int64), begin, begin + tokens, window)
                 wide = [np.frombuffer(x, f"<u{len(x) // n}").astype("<u4") for x, n in zip(raw, tokens.tolist())]
                 low, high = low - begin[row], high - begin[row]
                 crc = [zlib.crc32(wide[r][a:b]) for r, a, b in zip(row.tolist(), low.tolist(), high.tolist())]

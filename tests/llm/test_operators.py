@@ -281,6 +281,33 @@ def test_schedule_serves_every_token_once():
     assert (served.sum(axis=1) == np.arange(schedule.n + 1)).all() and (np.diff(served, axis=0) >= 0).all()
 
 
+@pytest.mark.parametrize("rates", [None, [1.0 + i % 3 for i in range(150)]])
+def test_mixture_of_many_queues_places_every_token_once_at_its_share(rates):
+    totals = sorted((40 + 37 * i % 400 for i in range(150)), reverse=True)
+    mixture = packing.Mixture(totals, rates, width=8)
+    queue, zero = np.arange(150), np.zeros(150, np.int64)
+    row, at, low, high, offset = mixture.pieces(queue, zero, np.array(totals), 512)
+    assert np.bincount(row, weights=high - low).tolist() == totals
+    spots = np.concatenate([w * 512 + np.arange(o, o + h - l) for w, o, l, h in zip(at, offset, low, high)])
+    assert sorted(spots.tolist()) == list(range(sum(totals)))
+    if rates is None:
+        given = np.zeros((at.max() + 1, 150))
+        np.add.at(given, (at, row), high - low)
+        ends = np.minimum(np.arange(1, len(given) + 1) * 512, sum(totals))
+        assert np.abs(given.cumsum(axis=0) - np.outer(ends, np.array(totals) / sum(totals))).max() <= 12
+
+
+def test_windows_hold_more_sources_than_lanes_and_given_shares(spark):
+    docs = spark.createDataFrame([(i, "some words of a text " * 8, f"s{i % 100:02d}") for i in range(2000)], "doc_id long, text string, source string")
+    rows = packing.pack(docs, queries.vocabulary()).toPandas()
+    held = rows.groupby(["sequence_id", "queue"])["length"].sum().unstack(fill_value=0).iloc[:-1]
+    assert ((held.cumsum().sub(1024 / 100 * np.arange(1, len(held) + 1), axis=0)).abs().to_numpy() <= 60).all()
+    rows = packing.pack(docs, queries.vocabulary(), shares={"s07": 0.25}).toPandas()
+    first = rows[rows.sequence_id == 0].groupby("queue")["length"].sum()
+    assert abs(first["s07"] - 256) <= 100 / 2 and first.sum() == 1024  # half a token per queue
+    assert rows[rows.start + rows.length == rows.doc_tokens].doc_id.nunique() == 2000
+
+
 def test_encoder_equals_the_tokenizer():
     encoder, rng = packing.Encoder(queries.vocabulary()), random.Random(1)
     bits = ["a", "b1", " ", "  ", "\n", "\t", "é", "'s", ".", "\x1c", "\x85", "中", "😀", "<|endoftext|>"]
