@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubflow.llm import crf, hilbert, packing, pii, rp_forest, suffix, toxicity, vptree, weak_labels, winnow
+from hubflow.llm import crf, golomb, hilbert, packing, pii, rp_forest, suffix, toxicity, vptree, weak_labels, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +102,11 @@ def op10_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_of("doc_id") % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_golomb_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose texts are equal once A-Z are lower-cased."""
+    return golomb.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_hilbert_sharding": op2_hilbert_sharding,
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_weak_label_quality": op8_weak_label_quality,
     "op9_mixture_packing": op9_mixture_packing,
     "op10_boosted_toxicity": op10_boosted_toxicity,
+    "op11_golomb_exact_dedup": op11_golomb_exact_dedup,
 }
 
 #: Words and windows spelled out; the join is on whole windows, so no fingerprint is involved.
@@ -139,4 +145,12 @@ SELECT l.doc_id, CAST(len(l.words) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit,
 FROM lowered l LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_winnowing": OP6_SQL}
+#: Equal texts meet as texts; no hash decides.
+OP11_SQL = """
+WITH lowered AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM lowered
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_winnowing": OP6_SQL, "op11_golomb_exact_dedup": OP11_SQL}
