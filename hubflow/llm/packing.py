@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +19,10 @@ from hubflow.llm.common import written
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Runs of white space on which the faster library's pattern would recurse too deep; a text that has one takes the other way.
+LONG_BLANKS = re.compile(r"\s{10000}")
+
+
 def byte_alphabet() -> dict[str, int]:
     """The byte behind each character of a byte-level vocabulary: printable bytes stand for themselves, others follow from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -30,7 +35,7 @@ class Encoder:
 
     The file's vocabulary is handed as ranks, with the same pre-splitting rule, to the faster of the two installed
     libraries (an id is a merge's place in such a file, so both give the same ids; the tests compare them). A text that
-    holds a special token's string goes to the tokenizer itself.
+    holds a special token's string, or a very long run of white space, goes to the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -50,7 +55,7 @@ class Encoder:
         self.ordinary = tiktoken.Encoding("ranks", pat_str=PRE_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, text: str) -> bytes:
-        if any(x in text for x in self.special):
+        if any(x in text for x in self.special) or LONG_BLANKS.search(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self.ordinary(text)

@@ -315,6 +315,33 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(encoder.encode(text), encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "\u3000", "a", "7", "#", "a" * 9 + " " * 9_999, " \n" * 5_000 + "x"])
+def test_long_runs_have_the_tokenizer_s_ids(unit):
+    encoder = packing.Encoder(queries.vocabulary())
+    for n in (20_000, 1_000_000 if unit == " " else 100_000):
+        text = unit * (n // len(unit))
+        same = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert (np.frombuffer(encoder.encode(text), encoder.kind) == np.array(same)).all()
+
+
+def test_a_text_of_blanks_is_packed(spark):
+    docs = spark.createDataFrame([(1, " " * 1_000_000, "s"), (2, "\n" * 1_000_000 + "x", "s"), (3, "short", "t")], "doc_id long, text string, source string")
+    rows = packing.pack(docs, queries.vocabulary()).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert {r.doc_id: r.n == r["all"] for r in rows} == {1: True, 2: True, 3: True}
+
+
+@pytest.mark.parametrize("rates", [None, [5.0, 1.0, 2.0, 2.0]])
+def test_schedule_equals_a_token_by_token_round(rates):
+    """Every token gives each queue credit at its rate; the queue whose next token has waited for half its credit longest serves."""
+    totals = [70, 11, 40, 3]
+    schedule, given = packing.Schedule(totals, rates), [0] * 4
+    pace = rates or totals
+    for n in range(sum(totals)):
+        assert schedule.served(np.array([n]))[0].tolist() == given
+        open_queues = [q for q in range(4) if given[q] < totals[q]]
+        given[min(open_queues, key=lambda q: ((given[q] + 0.5) / pace[q], q))] += 1
+
+
 def test_isotonic_fit_never_falls():
     rng = np.random.default_rng(4)
     raw = rng.normal(size=300)
