@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hubflow import params as P
 from hubflow.functions.times import local_time
 from hubflow.functions.values import count_if, lenient
+from hubflow.operators.keyset import KeyBits
 
 _ROUTE = "array<struct<check_in_at:struct<`$date`:string>,stop_point:string,items_dropped:array<string>>>"
 
@@ -22,17 +23,19 @@ def vehicle_arrivals(events: DataFrame) -> DataFrame:
     )
 
 
-def route_stops(routes: DataFrame, zone: str = P.TRUCK_ZONE) -> DataFrame:
+def route_stops(routes: DataFrame, zone: str = P.TRUCK_ZONE, wanted: KeyBits | None = None) -> DataFrame:
     """Packages dropped at each stop of a route with the local check-in time.
 
-    Stops without dropped packages disappear, stops without a check-in stay.
+    Stops without dropped packages disappear, stops without a check-in stay. With ``wanted``, packages that are surely not
+    among its keys go where they are unfolded, before anything is shuffled.
     """
     stops = routes.select(F.explode(F.from_json("partner_router", _ROUTE)).alias("stop"))
-    return stops.filter(F.size("stop.items_dropped") > 0).select(
+    dropped = stops.filter(F.size("stop.items_dropped") > 0).select(
         F.col("stop.stop_point").alias("stop_point"),
         local_time(F.col("stop.check_in_at").getField("$date"), zone).alias("check_in_at"),
         F.explode("stop.items_dropped").alias("package_code"),
     )
+    return dropped if wanted is None else dropped.filter(wanted.may_hold(F.col("package_code")))
 
 
 def map_stops(rows: DataFrame, stop_map: DataFrame) -> DataFrame:
@@ -50,21 +53,27 @@ def earliest_check_in(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def truck_check_ins(events: DataFrame) -> DataFrame:
-    """Check-ins by trip and hub from truck events.
+def truck_check_ins(events: DataFrame, wanted: KeyBits | None = None) -> DataFrame:
+    """Check-ins by trip and hub from truck events, of all trips or of the ``wanted`` ones (and a few by chance).
 
     Rows are collapsed by the hub id's text and parsed afterwards, so the later
     join on the parsed id starts from an exchange that Spark can split.
     """
-    early = earliest_check_in(vehicle_arrivals(events), ["trip_code", "location_id"])
+    arrivals = vehicle_arrivals(events if wanted is None else events.filter(wanted.may_hold(F.col("transportation_code"))))
+    early = earliest_check_in(arrivals, ["trip_code", "location_id"])
     return early.select(
         "trip_code", F.col("location_id").cast("int").cast("bigint").alias("hub_id"), "check_in_at", "has_blank"
     )
 
 
-def route_check_ins(routes: DataFrame, stop_map: DataFrame, zone: str = P.TRUCK_ZONE) -> DataFrame:
-    """Check-ins by package and hub from route JSON."""
-    return map_stops(earliest_check_in(route_stops(routes, zone), ["package_code", "stop_point"]), stop_map).drop("stop_point")
+def route_check_ins(routes: DataFrame, stop_map: DataFrame, zone: str = P.TRUCK_ZONE, wanted: KeyBits | None = None) -> DataFrame:
+    """Check-ins by package and hub from route JSON, of all packages or of the ``wanted`` ones (and a few by chance)."""
+    return map_stops(earliest_check_in(route_stops(routes, zone, wanted), ["package_code", "stop_point"]), stop_map).drop("stop_point")
+
+
+def received(scans: DataFrame) -> DataFrame:
+    """Scans whose arrival time depends on a check-in of their carrier."""
+    return scans.filter(F.col("action_category") == P.RECEIVE)
 
 
 def first_arrival(scans: DataFrame, check_ins: DataFrame, carrier: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hubflow.functions.values import lenient
+from hubflow.operators.keyset import KeyBits
 
 
 def exclude_hubs(df: DataFrame, name_column: str, marker: str) -> DataFrame:
@@ -46,6 +47,18 @@ def relevant_scans(scans: DataFrame, keys: DataFrame, on: list[str]) -> DataFram
     return scans.join(keys.select(*on), on, "left_semi")
 
 
+def passing_scans(scans: DataFrame, orders: DataFrame, transit_hubs: DataFrame) -> DataFrame:
+    """Scans of the given orders at their delivery hubs or at a transit hub (and, by chance, at a few others).
+
+    No others can tell which hubs an order passed. Transit hubs are looked up as bits, so the log is shuffled once, by
+    order; both sides of that join start from a plain exchange, which lets Spark split a hot order.
+    """
+    goals = orders.select(F.col("order_code").alias("goal_order"), F.col("deliver_warehouse_id").alias("goal_hub")).distinct()
+    marked = scans.withColumn("may_be_transit", KeyBits(transit_hubs, "hub_id", log2_bits=16).may_hold(F.col("hub_id")))
+    useful = F.col("may_be_transit") | (F.col("hub_id") == F.col("goal_hub"))
+    return marked.join(goals, (F.col("order_code") == F.col("goal_order")) & useful, "left_semi").select(*scans.columns)
+
+
 def ward_key(orders: DataFrame) -> DataFrame:
     """Ward code as text, else the newer ward id."""
     return orders.withColumn(

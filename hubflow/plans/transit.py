@@ -13,8 +13,10 @@ from hubflow.functions.times import monday_of, week_start
 from hubflow.functions.values import nulls_last
 from hubflow.operators import arrivals as A
 from hubflow.operators import transit as T
-from hubflow.operators.hubs import hub_scans, hubs_of_type, relevant_scans
+from hubflow.operators.hubs import hub_scans, hubs_of_type, passing_scans, relevant_scans
+from hubflow.operators.keyset import KeyBits
 from hubflow.operators.windows import partition_window
+from hubflow.sources.staging import staged
 
 _ARRIVAL_SCANS = (P.RECEIVE, P.UNPACK)
 
@@ -33,14 +35,17 @@ def hub_pass_weekly(
 ) -> DataFrame:
     """Orders per week, client, service class, province, lane and number of transit hubs passed.
 
-    The log is cut to the client's orders before anything else; that key set
-    ignores deadlines and hub names, which the cohort applies afterwards.
+    The log is cut to the client's orders, and to the hubs that can matter for them, before anything else; that key
+    set ignores deadlines and hub names, which the cohort applies afterwards. What is left is staged, since it tells
+    which trips are needed: truck events of other trips go before the first shuffle.
     """
     client_orders = partition_window(orders, "dt", since, as_of).filter(F.col("client_id") == client_id)
     cohort = T.bulky_cohort(client_orders, sla, hubs, since=since, as_of=as_of, channel=channel)
-    seen = relevant_scans(hub_scans(partition_window(scans, "dt", since, as_of), _ARRIVAL_SCANS), client_orders, ["order_code"])
-    arrivals = A.first_arrival(seen, A.truck_check_ins(partition_window(truck_events, "dt", since, as_of)), "trip_code")
-    deliveries = A.delivery_arrivals(arrivals, cohort, hubs_of_type(hubs, P.TRANSIT_HUB))
+    transit_hubs = hubs_of_type(hubs, P.TRANSIT_HUB)
+    seen = staged(passing_scans(hub_scans(partition_window(scans, "dt", since, as_of), _ARRIVAL_SCANS), client_orders, transit_hubs), "passing-scans")
+    trips = KeyBits(A.received(seen), "trip_code")
+    arrivals = A.first_arrival(seen, A.truck_check_ins(partition_window(truck_events, "dt", since, as_of), trips), "trip_code")
+    deliveries = A.delivery_arrivals(arrivals, cohort, transit_hubs)
     groups = ["client_id", "client_channel", "service_type", "deli_province", "externallane"]
     reached = partition_window(A.delivery_cohort(deliveries, groups), "created_date", since, as_of)
     return (
@@ -68,7 +73,8 @@ def transit_sla_weekly(
     """Orders per week, province and lane by how early or late they reached the delivery hub.
 
     Only scans at an order's delivery hub can matter, so the log is cut to those
-    (order, hub) pairs before route check-ins are looked up.
+    (order, hub) pairs. They are staged, since they tell which packages are needed: of the routes of all clients, other
+    packages go where they are unfolded, before the first shuffle.
     """
     start = as_of - timedelta(days=lookback_days)
     client_orders = partition_window(orders, "dt", start, as_of).filter(F.col("client_id") == client_id)
@@ -77,7 +83,9 @@ def transit_sla_weekly(
     seen = relevant_scans(
         hub_scans(partition_window(scans, "dt", start, as_of), _ARRIVAL_SCANS, lenient_ids=True), goals, ["order_code", "hub_id"]
     )
-    check_ins = A.route_check_ins(partition_window(routes, "updated_at_date", start, as_of), stop_map)
+    seen = staged(seen, "delivery-scans")
+    packages = KeyBits(A.received(seen), "package_code")
+    check_ins = A.route_check_ins(partition_window(routes, "updated_at_date", start, as_of), stop_map, wanted=packages)
     arrivals = A.first_arrival(seen, check_ins, "package_code")
     reached = partition_window(T.arrival_rollup(cohort, arrivals), "received_time", since, as_of)
     return T.sla_buckets(

@@ -7,7 +7,9 @@ import pytest
 from conftest import SMALL
 
 from hubflow.catalog import CHECKS
+from hubflow.plans import transit
 from hubflow.sources.samples import BASE_TABLES
+from hubflow.sources.staging import staged
 from verify import differences
 
 FILES = 16
@@ -69,6 +71,24 @@ def large(spark):
         spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+@pytest.fixture
+def staged_frames(monkeypatch):
+    """The frames that a report stages on its way, run once for their final plans."""
+    frames = []
+
+    def record(df, label):
+        df.collect()
+        frames.append(df)
+        return staged(df, label)
+
+    monkeypatch.setattr(transit, "staged", record)
+    return frames
+
+
+def plans(frames):
+    return "\n".join(f._jdf.queryExecution().executedPlan().toString() for f in frames)
+
+
 @pytest.mark.parametrize("name", REPORTS)
 def test_reports_are_right_with_a_hot_order(large, skewed, con, name):
     problems = differences(CHECKS[name].query(large, skewed), con, CHECKS[name].statement())
@@ -77,10 +97,10 @@ def test_reports_are_right_with_a_hot_order(large, skewed, con, name):
 
 # The log joins of these reports have the order alone as key.
 @pytest.mark.parametrize("name", ["r01_hub_pass_weekly", "r09_weight_gap_summary", "r10_weight_gap_detail"])
-def test_hot_orders_are_split(large, skewed, name):
+def test_hot_orders_are_split(large, skewed, staged_frames, name):
     df = CHECKS[name].query(large, skewed)
     df.collect()
-    assert "SortMergeJoin(skew=true) [order_code" in df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin(skew=true) [order_code" in plans([*staged_frames, df])
 
 
 @pytest.mark.parametrize("name", REPORTS)
@@ -91,12 +111,12 @@ def test_no_plan_needs_a_cross_product(large, name):
 
 # Locally no log is large enough for a runtime filter, so every log counts as large here.
 @pytest.mark.parametrize("name", ["r01_hub_pass_weekly", "r02_transit_sla_weekly", "r07_delivery_backlog", "r10_weight_gap_detail"])
-def test_large_logs_are_filtered_before_the_shuffle(large, skewed, con, name):
+def test_large_logs_are_filtered_before_the_shuffle(large, skewed, con, staged_frames, name):
     key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
     large.conf.set(key, "0")
     try:
         df = CHECKS[name].query(large, skewed)
         assert not [p for p in differences(df, con, CHECKS[name].statement()) if p != "no rows"]
-        assert "might_contain" in df._jdf.queryExecution().optimizedPlan().toString()
+        assert any("might_contain" in f._jdf.queryExecution().optimizedPlan().toString() for f in [*staged_frames, df])
     finally:
         large.conf.unset(key)
