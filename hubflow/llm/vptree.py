@@ -236,11 +236,14 @@ def without_near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, max_
     """One row of each group, all columns: of the rows with the group's smallest doc_id (null counts as larger than all) the first.
 
     Rows are told apart by a key that is written with them, so a repeated row, one whose doc_id another row has too and one
-    without a doc_id are rows of their own.
+    without a doc_id are rows of their own. Null, empty and very long texts are judged like others. An empty table
+    gives no row. Columns keep their names, whatever these are.
     """
-    row = F.monotonically_increasing_id()
-    keyed = written(docs.select(row.alias("survivor_row"), *docs.columns), "near-duplicate-rows")
-    named = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("survivor_row").alias("row")).alias("doc_id"), "text")
+    own = [F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(docs.columns)]
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("row"), *own), "near-duplicate-rows")
+    key, text = (F.col(f"own_{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    named = keyed.select(F.struct(key.isNull().alias("none"), key.alias("doc_id"), "row").alias("doc_id"), text.alias("text"))
     groups = near_duplicates(named, words_per_shingle=words_per_shingle, max_bits=max_bits)
-    keep = groups.where("doc_id.row = component_id.row").select(F.col("doc_id.row").alias("survivor_row"))
-    return keyed.join(keep, "survivor_row", "left_semi").select(*docs.columns)
+    # Written, so that its size is known: where few rows go, no text is shuffled.
+    gone = written(groups.where("doc_id.row <> component_id.row").select(F.col("doc_id.row").alias("row")), "near-duplicate-gone")
+    return keyed.join(gone, "row", "left_anti").select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])

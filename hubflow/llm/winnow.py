@@ -154,12 +154,17 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -
     """The documents, all columns, that hold no benchmark window. Each row is judged by its own text, whatever its doc_id.
 
     A hit depends on the text alone, so a digest of 128 bits of the text names the rows to drop; a null doc_id and one that
-    several rows share make no difference, and rows without a text have no hit.
+    several rows share make no difference, and rows without a text have no hit. An empty table gives no row, an empty
+    benchmark leaves all rows. Columns keep their names, whatever these are.
     """
-    named = docs.select(_digest().alias("doc_id"), "text")
-    dirty = benchmark_hits(named, benchmark, window=window).where("n_hit > 0").select(F.col("doc_id").alias("dirty_digest")).distinct()
-    return docs.join(dirty, _digest() == F.col("dirty_digest"), "left_anti").select(*docs.columns)
+    named = docs.select(_digest(F.col("text")).alias("doc_id"), "text")
+    dirty = benchmark_hits(named, benchmark, window=window).where("n_hit > 0").select(F.col("doc_id").alias("digest")).distinct()
+    # Written, so that its size is known: where few texts go, no text is shuffled.
+    dirty = written(dirty, "benchmark-dirty")
+    own = docs.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(docs.columns)])
+    clean = own.join(dirty, _digest(F.col(f"own_{docs.columns.index('text')}")) == F.col("digest"), "left_anti")
+    return clean.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
-def _digest() -> Column:
-    return F.md5(F.col("text").cast("binary"))
+def _digest(text: Column) -> Column:
+    return F.md5(text.cast("binary"))

@@ -414,6 +414,18 @@ def test_rows_that_share_an_id_are_judged_one_by_one(spark):
     assert found["decontamination"] == sorted(x for x in rows if x[1] != dirty)
 
 
+def test_stages_take_odd_rows_clashing_names_and_empty_tables(spark):
+    texts, bench = prose(spark, 2)
+    names = ["row", "survivor_row", "dirty_digest", "digest", "own_0", "pii_id", "first"]
+    rows = [(i, t, "en", "s", *([0] * len(names))) for i, t in enumerate([texts[0], texts[1], texts[0] + " ", None, "", "x " * 500_000, f"{texts[1]} {bench}"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} long" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, SMALL)
+        assert left.columns == docs.columns and {r.doc_id for r in left.collect()} >= ({0, 1} if name != "near_duplicates" else {0, 1, 3})
+        assert stage(spark, docs.where("false"), SMALL).collect() == []
+    assert sum(r.start == 0 for r in corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()) == len(rows)
+
+
 def test_written_table_leaves_the_session_setting(spark):
     before = spark.conf.get(common.CLEANUP)
     rows = common.written(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "test")
