@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hubflow.llm.common import written
+from hubflow.operators.keyset import KeyBits
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -250,11 +251,15 @@ def listed(spans: Column | str) -> Column:
 
 
 def redacted(docs: DataFrame, **options) -> DataFrame:
-    """The documents, all columns, with every span replaced by its kind in brackets; overlapping spans become one."""
+    """The documents, all columns, with every span replaced by its kind in brackets; overlapping spans become one.
+
+    Null and empty texts stay as they are. An empty table gives no row. Columns keep their names, whatever these are.
+    """
     found = personal_data(docs, **options)
     # Rows with equal ids and texts have equal spans, so one of them stands for all; clashing names are avoided by prefix.
     todo = found.where("size(base) + size(added) > 0").groupBy(F.col("doc_id").alias("pii_id"), F.col("text_hash").alias("pii_hash"))
-    todo = todo.agg(F.first(F.expr("array_sort(concat(base, added))")).alias("pii_spans"))
+    # Written, so that its size is known: where few rows have spans, no text is shuffled.
+    todo = written(todo.agg(F.first(F.expr("array_sort(concat(base, added))")).alias("pii_spans")), "pii-todo")
     cut = (
         "aggregate(pii_spans, named_struct('at', 0, 'out', CAST(array() AS array<string>)), "
         "(a, x) -> IF(x.stop <= a.at, a, named_struct('at', x.stop, 'out', "
@@ -263,6 +268,9 @@ def redacted(docs: DataFrame, **options) -> DataFrame:
     )
     own = docs.select(*(docs[c].alias(f"doc_{i}") for i, c in enumerate(docs.columns)))
     text, key = (f"doc_{docs.columns.index(c)}" for c in ("text", "doc_id"))
-    joined = own.join(todo, F.col(key).eqNullSafe(F.col("pii_id")) & (F.xxhash64(text) == F.col("pii_hash")), "left")
+    # Bits of fixed size tell most texts without spans, which then pass where they are read; only the others meet their spans.
+    may_have = KeyBits(todo, "pii_hash").may_hold(F.xxhash64(text))
+    joined = own.where(may_have).join(todo, F.col(key).eqNullSafe(F.col("pii_id")) & (F.xxhash64(text) == F.col("pii_hash")), "left")
     clean = F.when(F.col("pii_spans").isNull(), F.col(text)).otherwise(F.expr(cut.replace("substring(text,", f"substring({text},")))
-    return joined.select(*((clean if c == "text" else F.col(f"doc_{i}")).alias(c) for i, c in enumerate(docs.columns)))
+    changed = joined.select(*((clean if c == "text" else F.col(f"doc_{i}")).alias(c) for i, c in enumerate(docs.columns)))
+    return changed.union(own.where(~may_have).select(*(F.col(f"doc_{i}").alias(c) for i, c in enumerate(docs.columns))))
