@@ -21,6 +21,8 @@ PROSE_MARK = flag_table(*((ord(c), ord(c)) for c in ".,;:?'\"()-"))
 SYMBOL = ~(LETTER | DIGIT | PROSE_MARK) & TOKEN
 STOP = flag_table((0x2E, 0x2E), (0x3F, 0x3F), (0x21, 0x21))
 
+#: Bytes of text that a kernel handles at once: it holds about ten numbers of 8 bytes for each.
+BLOCK_BYTES = 1 << 20
 #: Documents that the linear scorer is fitted on, and its size.
 TRAINING_ROWS, FEATURES = 3000, 1 << 17
 VOTES = ("symbols", "repeats", "capitals", "pairs", "lone_marks", "short_words", "sentences")
@@ -178,7 +180,7 @@ def learn(docs: DataFrame, *, training_rows: int = TRAINING_ROWS) -> np.ndarray:
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[int, int] = {}
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), BLOCK_BYTES):
                 codes, counts = np.unique(pattern_of(votes(block)), return_counts=True)
                 for c, n in zip(codes.tolist(), counts.tolist()):
                     seen[c] = seen.get(c, 0) + n
@@ -190,7 +192,7 @@ def learn(docs: DataFrame, *, training_rows: int = TRAINING_ROWS) -> np.ndarray:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), BLOCK_BYTES):
                 t, label = tokens_of(block), pattern_of(votes(block))
                 ids = np.concatenate(feature_ids(t))
                 at = np.tile(t.owner, 4)
@@ -232,7 +234,7 @@ def quality(docs: DataFrame, *, training_rows: int = TRAINING_ROWS, threshold: f
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), BLOCK_BYTES):
                 value = scores(block, weights)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, len(block)), pa.array(value), pa.array(value >= threshold)], ["doc_id", "score", "keep"])
 
@@ -245,7 +247,7 @@ def without_low_quality(docs: DataFrame, *, training_rows: int = TRAINING_ROWS,
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), BLOCK_BYTES):
                 yield batch.slice(block.first, len(block)).filter(pa.array(scores(block, weights) >= threshold))
 
     return docs.mapInArrow(passing, docs.schema)
