@@ -14,7 +14,7 @@ from bench import timed  # noqa: E402
 from hubflow import plans  # noqa: E402
 from hubflow.catalog import reports as R  # noqa: E402
 from hubflow.session import local_session  # noqa: E402
-from hubflow.sources.samples import AS_OF, MEASURED_AS_OF, SINCE, Samples  # noqa: E402
+from hubflow.sources.samples import MEASURED_AS_OF, SINCE, WEEKLY_AS_OF, Samples  # noqa: E402
 
 
 def main() -> None:
@@ -23,7 +23,7 @@ def main() -> None:
     spark = local_session(8, app="compare")
     t = Samples(spark, sf_dir)
     transit = [t(n) for n in ("shipping_order", "sla_mart", "dim_warehouse", "hub_scan_dirty", "trip_route", "stop_map")]
-    dates = {"as_of": AS_OF, "since": SINCE, "lookback_days": (AS_OF - SINCE).days}
+    dates = {"as_of": WEEKLY_AS_OF, "since": SINCE, "lookback_days": (WEEKLY_AS_OF - SINCE).days}
     backlog = [t(n) for n in ("shipping_order", "hub_scan", "dim_warehouse", "dim_ward")]
     places = {"now": R.NOW, "hub_names": R.BACKLOG_HUBS, "provinces": R.PROVINCES, "lookback_days": 365}
     weights = [t(n) for n in ("completed_mart", "sorter_log")]

@@ -6,12 +6,12 @@ from datetime import date, datetime
 
 from hubflow import plans
 from hubflow.catalog.registry import Catalog
-from hubflow.sources.samples import AS_OF, MEASURED_AS_OF, SINCE
+from hubflow.sources.samples import AS_OF, MEASURED_AS_OF, SINCE, WEEKLY_AS_OF
 
 REPORTS = Catalog()
 
 HUB_NAMES = ("Supplier#000000001", "Supplier#000000002", "Supplier#000000003")
-BACKLOG_HUBS = tuple(f"Supplier#00000000{i}" for i in range(8))
+BACKLOG_HUBS = tuple(f"Supplier#00000000{i}" for i in range(7))
 PROVINCES = ("AFRICA", "AMERICA", "ASIA")
 NOW = datetime(2001, 8, 2, 9, 30)
 
@@ -19,12 +19,12 @@ NOW = datetime(2001, 8, 2, 9, 30)
 ARRIVALS = """
     scans AS (
         SELECT order_code, CAST(warehouse_id AS INT) AS hub, action_time AS moment, trip_code, action_category AS kind
-        FROM hub_scan WHERE dt >= '1995-01-01' AND dt < '2001-08-02'),
+        FROM hub_scan WHERE dt >= '1995-04-01' AND dt < '2001-06-01'),
     arrive AS (
         SELECT order_code, hub, min(moment) AS moment FROM (
             SELECT s.order_code, s.hub, coalesce(e.created_time, s.moment) AS moment
             FROM scans s LEFT JOIN truck_event e
-              ON e.action_type = 'VEHICLE_ARRIVE' AND e.dt >= '1995-01-01' AND e.dt < '2001-08-02'
+              ON e.action_type = 'VEHICLE_ARRIVE' AND e.dt >= '1995-04-01' AND e.dt < '2001-06-01'
              AND e.transportation_code = s.trip_code AND CAST(e.location_id AS INT) = s.hub
             WHERE s.kind = 'receive'
             UNION ALL
@@ -40,8 +40,8 @@ BULKY = """
         FROM delivered_order o
         JOIN sla_mart p ON p.ordercode = o.order_code
         LEFT JOIN dim_warehouse w ON w.warehouse_id = o.deliver_warehouse_id
-        WHERE o.client_id = 3892833 AND o.dt >= '1995-01-01' AND o.dt < '2001-08-02'
-          AND p.loaddate >= DATE '1995-01-01' AND p.loaddate < DATE '2001-08-02'
+        WHERE o.client_id = 3892833 AND o.dt >= '1995-04-01' AND o.dt < '2001-06-01'
+          AND p.loaddate >= DATE '1995-04-01' AND p.loaddate < DATE '2001-06-01'
           AND (w.warehouse_name IS NULL OR w.warehouse_name NOT LIKE '%Ahamove%'))
 """
 PASSES = """
@@ -69,13 +69,13 @@ PASSES = """
            CASE WHEN coalesce(p.n, 0) < 5 THEN concat(coalesce(p.n, 0), '_lan') ELSE '>=5_lan' END AS ktc_pass,
            count(*) AS total_orders
     FROM reached r LEFT JOIN passes p ON p.order_code = r.order_code
-    WHERE r.created_date >= DATE '1995-01-01' AND r.created_date < DATE '2001-08-02'
+    WHERE r.created_date >= DATE '1995-04-01' AND r.created_date < DATE '2001-06-01'
     GROUP BY ALL
     """,
 )
 def _(t):
     return plans.hub_pass_weekly(
-        t("hub_scan"), t("truck_event"), t("delivered_order"), t("sla_mart"), t("dim_warehouse"), since=SINCE, as_of=AS_OF
+        t("hub_scan"), t("truck_event"), t("delivered_order"), t("sla_mart"), t("dim_warehouse"), since=SINCE, as_of=WEEKLY_AS_OF
     )
 
 
@@ -83,7 +83,7 @@ def _(t):
 ROUTE_CHECK_INS = """
     stops AS (
         SELECT unnest(CAST(partner_router AS JSON[])) AS stop
-        FROM trip_route WHERE updated_at_date >= TIMESTAMP '1995-01-01' AND updated_at_date < TIMESTAMP '2001-08-02'),
+        FROM trip_route WHERE updated_at_date >= TIMESTAMP '1995-04-01' AND updated_at_date < TIMESTAMP '2001-06-01'),
     drops AS (
         SELECT CAST(json_extract_string(stop, '$.check_in_at."$date"') AS TIMESTAMPTZ) AT TIME ZONE 'Asia/Bangkok' AS moment,
                json_extract_string(stop, '$.stop_point') AS stop_point,
@@ -98,7 +98,7 @@ ROUTE_ARRIVALS = """
     log AS (
         SELECT order_code, action_time AS moment, package_code, action_category AS kind,
                CASE WHEN regexp_full_match(warehouse_id, '[0-9]+') THEN CAST(warehouse_id AS INT) END AS hub
-        FROM hub_scan_dirty WHERE dt >= '1995-01-01' AND dt < '2001-08-02'),
+        FROM hub_scan_dirty WHERE dt >= '1995-04-01' AND dt < '2001-06-01'),
     arrive AS (
         SELECT order_code, hub, min(moment) AS moment FROM (
             SELECT l.order_code, l.hub, coalesce(c.moment, l.moment) AS moment
@@ -117,8 +117,8 @@ TRANSIT = """
         JOIN sla_mart p ON p.ordercode = o.order_code
         LEFT JOIN dim_warehouse w ON w.warehouse_id = o.deliver_warehouse_id
         WHERE o.client_id = 3892833 AND o.end_pick_time IS NOT NULL
-          AND o.dt >= '1995-01-01' AND o.dt < '2001-08-02'
-          AND p.loaddate BETWEEN DATE '1995-01-01' AND DATE '2001-08-01'
+          AND o.dt >= '1995-04-01' AND o.dt < '2001-06-01'
+          AND p.loaddate BETWEEN DATE '1995-04-01' AND DATE '2001-05-31'
           AND coalesce(w.warehouse_name, '') NOT LIKE '%Ahamove%')
 """
 TRANSIT_ARRIVED = """
@@ -127,7 +127,7 @@ TRANSIT_ARRIVED = """
                CASE WHEN c.province_id IN (201, 202) THEN 8 WHEN c.province_id IS NOT NULL THEN 9 END AS cutoff,
                epoch(a.moment) - epoch(date_trunc('day', a.moment)) AS second_of_day
         FROM cohort c JOIN arrive a ON a.order_code = c.order_code AND a.hub = c.deliver_warehouse_id
-        WHERE a.moment >= TIMESTAMP '1995-01-01' AND a.moment < TIMESTAMP '2001-08-02')
+        WHERE a.moment >= TIMESTAMP '1995-04-01' AND a.moment < TIMESTAMP '2001-06-01')
 """
 BUCKETS = """
            count(*) FILTER (WHERE epoch(moment) < epoch(date_trunc('day', sla_time)) - 9 * 3600) AS ontime_tc,
@@ -158,9 +158,9 @@ def _(t):
         t("hub_scan_dirty"),
         t("trip_route"),
         t("stop_map"),
-        as_of=AS_OF,
+        as_of=WEEKLY_AS_OF,
         since=SINCE,
-        lookback_days=(AS_OF - SINCE).days,
+        lookback_days=(WEEKLY_AS_OF - SINCE).days,
     )
 
 
@@ -173,9 +173,9 @@ PICKUP_LINES = """
                  + CASE WHEN CAST(v.createddate AS DATE) = CAST(v.orderdate AS DATE) AND hour(v.createddate) >= 19
                         THEN 1 ELSE 0 END AS order_date,
                EXISTS (SELECT 1 FROM trip_item i WHERE i.order_code = a.ordercode AND i.type = 'PICK'
-                       AND i.fail_note = 'Nhân viên gặp sự cố' AND i.dt >= '1995-01-01') AS incident
+                       AND i.fail_note = 'Nhân viên gặp sự cố' AND i.dt >= '1995-04-01') AS incident
         FROM sla_mart a JOIN order_mart v ON v.ordercode = a.ordercode
-        WHERE a.loaddate >= DATE '1995-01-01' AND v.createddate_partition >= DATE '1995-01-01'
+        WHERE a.loaddate >= DATE '1995-04-01' AND v.createddate_partition >= DATE '1995-04-01'
           AND a.clientid IN ('18692', '3892833')
           AND NOT (coalesce(v.pickwh, '') LIKE '%Ahamove%' OR coalesce(v.pickwh, '') LIKE '%Key Account%')),
     judged AS (
@@ -215,7 +215,7 @@ def _(t):
            count(*) AS total_orders,
            count(*) FILTER (WHERE o.status LIKE '%return%') AS fd_orders
     FROM shipping_order o JOIN hub_name w ON w.warehouse_id = o.deliver_warehouse_id
-    WHERE o.dt > '1998-06-01' AND CAST(o.end_pick_time AS DATE) BETWEEN DATE '1999-01-01' AND DATE '1999-12-31'
+    WHERE o.dt > '1999-02-01' AND CAST(o.end_pick_time AS DATE) BETWEEN DATE '1999-01-01' AND DATE '1999-12-31'
       AND w.warehouse_name IN ('Supplier#000000001', 'Supplier#000000002', 'Supplier#000000003')
     GROUP BY 1, 2
     """,
@@ -224,7 +224,7 @@ def _(t):
     return plans.failed_delivery_by_hub(
         t("shipping_order"),
         t("hub_name"),
-        created_after=date(1998, 6, 1),
+        created_after=date(1999, 2, 1),
         picked=(date(1999, 1, 1), date(1999, 12, 31)),
         hub_names=HUB_NAMES,
     )
@@ -236,12 +236,12 @@ SAMPLE = """
                numdeliver, firstfaildeliverynote, secondfaildeliverynote, thirdfaildeliverynote, lastfaildeliverynote,
                allfailnote, startreturntime, date_sub('hour', endpicktime, startreturntime) AS hours_pick_to_return
         FROM order_mart
-        WHERE createddate_partition BETWEEN DATE '1999-10-01' AND DATE '2000-12-31' AND startreturntime IS NOT NULL
+        WHERE createddate_partition BETWEEN DATE '2000-01-20' AND DATE '2000-12-10' AND startreturntime IS NOT NULL
           AND CAST(endpicktime AS DATE) BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'
           AND clienttype IN ('SPE', 'SPB', 'TTSE', 'TTSB') AND deliverywarehouseid IN (1, 2, 3))
 """
 SAMPLE_ARGS = {
-    "partitions": (date(1999, 10, 1), date(2000, 12, 31)),
+    "partitions": (date(2000, 1, 20), date(2000, 12, 10)),
     "picked": (date(2000, 1, 1), date(2000, 12, 31)),
     "client_types": ("SPE", "SPB", "TTSE", "TTSB"),
     "hub_ids": (1, 2, 3),
@@ -255,7 +255,7 @@ SAMPLE_ARGS = {
     SELECT s.*, p.order_status AS pod_status, p.reason AS pod_reason, p.time AS pod_time, p.lat AS pod_lat, p.lng AS pod_lng,
            p.is_correct AS pod_is_correct, p.url_list AS pod_url_list
     FROM sample s LEFT JOIN pod_flat p
-      ON p.order_code = s.order_code AND p.createddate_partition BETWEEN DATE '1999-10-01' AND DATE '2000-12-31'
+      ON p.order_code = s.order_code AND p.createddate_partition BETWEEN DATE '2000-01-20' AND DATE '2000-12-10'
     """,
 )
 def _(t):
@@ -330,15 +330,15 @@ DELIVERED = """
     SELECT CAST(enddeliveredtime AS DATE) AS report_date, toprovince,
            CASE WHEN sum(delivered) <> 0 THEN CAST(sum(ontimeenddelivery) AS DOUBLE) / sum(delivered) END AS metrics
     FROM express_order
-    WHERE createddate >= DATE '2001-07-03' AND CAST(enddeliveredtime AS DATE) = DATE '2001-08-01' GROUP BY 1, 2
+    WHERE createddate >= DATE '2001-06-20' AND CAST(enddeliveredtime AS DATE) = DATE '2001-07-19' GROUP BY 1, 2
 """
 CREATED = """
     SELECT createddate AS report_date, toprovince, count(DISTINCT ordercode) AS metrics
     FROM express_order
-    WHERE createddate BETWEEN DATE '2001-07-03' AND DATE '2001-08-01' AND currentstatus <> 'cancel' GROUP BY 1, 2
+    WHERE createddate BETWEEN DATE '2001-06-20' AND DATE '2001-07-19' AND currentstatus <> 'cancel' GROUP BY 1, 2
 """
 BACKLOG = """
-    SELECT DATE '2001-08-01' AS report_date, tinhhientai AS toprovince, tuoibacklog, count(DISTINCT madh) AS metrics
+    SELECT DATE '2001-07-19' AS report_date, tinhhientai AS toprovince, tuoibacklog, count(DISTINCT madh) AS metrics
     FROM backlog_mart WHERE ordertype = 'Express' AND tuoibacklog IS NOT NULL GROUP BY 2, 3
 """
 
