@@ -30,22 +30,27 @@ def pending_at(pending: DataFrame, hubs: DataFrame, wards: DataFrame, hub_names:
     return ward_lookup(listed, wards, how="inner").filter(F.col("province_name").isin(*provinces))
 
 
-def last_scans(scans: DataFrame, pending: DataFrame) -> DataFrame:
-    """Latest receive and unpack time per order among scans at its delivery hub.
-
-    One pass over the log serves both; it is cut to the pending (order, hub)
-    pairs first, which are few beside it.
-    """
+def scan_times(scans: DataFrame, *columns: str) -> DataFrame:
+    """Receive and unpack scans with their hub, the time in the column of its kind, and further columns."""
     received, unpacked = F.col("action_name") == P.RECEIVE_ACTION, F.col("action_category") == P.UNPACK
-    rows = scans.filter(received | unpacked).select(
+    return scans.filter(received | unpacked).select(
+        *columns,
         "order_code",
         F.col("warehouse_id").cast("bigint").alias("hub_id"),
         F.when(received, F.col("action_time")).alias("ibh_from_receive"),
         F.when(unpacked, F.col("action_time")).alias("ibh_from_unpack"),
     )
+
+
+def last_scans(scans: DataFrame, pending: DataFrame) -> DataFrame:
+    """Latest receive and unpack time per order among scans at its delivery hub.
+
+    One pass over the log serves both; it is cut to the pending (order, hub)
+    pairs first, which are few beside it.
+    """
     keys = pending.withColumnRenamed("deliver_warehouse_id", "hub_id")
     return (
-        relevant_scans(rows, keys, ["order_code", "hub_id"])
+        relevant_scans(scan_times(scans), keys, ["order_code", "hub_id"])
         .groupBy("order_code")
         .agg(F.max("ibh_from_receive").alias("ibh_from_receive"), F.max("ibh_from_unpack").alias("ibh_from_unpack"))
     )

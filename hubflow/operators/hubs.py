@@ -25,8 +25,8 @@ def hubs_of_type(dim: DataFrame, hub_type: str) -> DataFrame:
     return dim.filter(F.col("warehouse_type") == hub_type).select(F.col("warehouse_id").alias("hub_id")).distinct()
 
 
-def hub_scans(scans: DataFrame, categories: Iterable[str], *, lenient_ids: bool = False) -> DataFrame:
-    """Scan rows of the given categories with numeric hub ids.
+def hub_scans(scans: DataFrame, categories: Iterable[str], *, lenient_ids: bool = False, days: bool = False) -> DataFrame:
+    """Scan rows of the given categories with numeric hub ids, and with their partition day on request.
 
     One filtered pass over the log serves all categories. Malformed ids raise,
     or become null with ``lenient_ids``.
@@ -39,6 +39,7 @@ def hub_scans(scans: DataFrame, categories: Iterable[str], *, lenient_ids: bool
         "package_code",
         "trip_code",
         "action_category",
+        *(["dt"] if days else []),
     )
 
 

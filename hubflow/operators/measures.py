@@ -6,6 +6,8 @@ minutes, then to one row per order, and no step joins the log to itself.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ def completed_cohort(mart: DataFrame, window: ReportWindow) -> DataFrame:
     )
 
 
-def measurements(log: DataFrame) -> DataFrame:
-    """Weight and sizes per log row; which JSON field holds them depends on the action.
+def measurements(log: DataFrame, *, days: bool = False) -> DataFrame:
+    """Weight and sizes per log row, with its partition day on request; which JSON field holds them depends on the action.
 
     Feeder, size and matrix rows count at both hubs, weighing rows at HY only.
     Text that is no number, or no JSON, gives null.
@@ -58,6 +60,7 @@ def measurements(log: DataFrame) -> DataFrame:
         "last_updated_time",
         lenient(weight, "double").alias("weight_g"),
         *[F.when(sized, lenient(F.col(f"fields.{f}"), "double")).alias(c) for c, f in P.SIZE_FIELDS.items()],
+        *(["date_partition"] if days else []),
     )
 
 
@@ -81,6 +84,21 @@ def minute_maxima(rows: DataFrame) -> DataFrame:
     )
 
 
+def day_minutes(log: DataFrame) -> DataFrame:
+    """Largest weight and sizes per partition day, order, hub and minute: the log with its JSON parsed once, for all reports on weights."""
+    keys = ["date_partition", "order_code", "location_id", minute_of(F.col("last_updated_time")).alias("measured_time")]
+    return measurements(log, days=True).groupBy(*keys).agg(*[F.max(v).alias(v) for v in _VALUES])
+
+
+def stored_minutes(days: DataFrame, cohort: DataFrame, first_partition: date) -> DataFrame:
+    """Minutes of the cohort's orders from ``day_minutes`` on; what a minute has on two partition days is united.
+
+    Where the table is bucketed by order, neither the join nor this aggregation nor the next shuffles it.
+    """
+    rows = measured_cohort(partition_window(days, "date_partition", first_partition).drop("date_partition"), cohort)
+    return rows.groupBy("order_code", "location_id", "measured_time").agg(*[F.max(v).alias(v) for v in _VALUES])
+
+
 def _all_positive(condition: Column | None = None) -> Column:
     maxima = [F.max(F.col(v) if condition is None else F.when(condition, F.col(v))) for v in _VALUES]
     result = maxima[0] > 0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hubflow.functions.values import nulls_last
 from hubflow.operators import backlog as B
+from hubflow.operators.partials import merged_last_scans
 from hubflow.operators.windows import partition_window
 
 
@@ -23,8 +24,12 @@ def delivery_backlog(
     hub_names: Iterable[str],
     provinces: Iterable[str],
     lookback_days: int = 7,
+    partials: bool = False,
 ) -> DataFrame:
-    """One row per pending order with its inbound time, the source of it and its age."""
+    """One row per pending order with its inbound time, the source of it and its age.
+
+    With ``partials``, ``scans`` are the daily partials of ``last_scan_partials`` instead of the log.
+    """
     start = now.date() - timedelta(days=lookback_days)
     pending = B.pending_orders(partition_window(orders, "dt", start))
     listed = B.pending_at(pending, hubs, wards, hub_names, provinces).select(
@@ -44,7 +49,8 @@ def delivery_backlog(
     latest = B.latest_rows(listed, "ordercode", "created_date")
     # Only listed orders are reported, but each of them with the scans at all hubs where it is pending.
     wanted = pending.join(latest.select(F.col("ordercode").alias("order_code")), "order_code", "left_semi")
-    last = B.last_scans(partition_window(scans, "dt", start), wanted).withColumnRenamed("order_code", "ordercode")
+    find = merged_last_scans if partials else B.last_scans
+    last = find(partition_window(scans, "dt", start), wanted).withColumnRenamed("order_code", "ordercode")
     aged = B.pending_age(B.inbound_time(latest.join(last, "ordercode", "left")), now)
     return (
         aged.withColumn("created_date", F.to_date("created_date"))

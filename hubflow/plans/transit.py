@@ -32,9 +32,12 @@ def hub_pass_weekly(
     as_of: date,
     client_id: int = P.CLIENT_SPB,
     channel: str = P.BULKY_CHANNEL,
+    partials: bool = False,
 ) -> DataFrame:
     """Orders per week, client, service class, province, lane and number of transit hubs passed.
 
+    With ``partials``, ``scans`` are the daily partials of ``arrival_partials`` instead of the log.
+
     The log is cut to the client's orders, and to the hubs that can matter for them, before anything else; that key
     set ignores deadlines and hub names, which the cohort applies afterwards. What is left is staged, since it tells
     which trips are needed: truck events of other trips go before the first shuffle.
@@ -42,7 +45,9 @@ def hub_pass_weekly(
     client_orders = partition_window(orders, "dt", since, as_of).filter(F.col("client_id") == client_id)
     cohort = T.bulky_cohort(client_orders, sla, hubs, since=since, as_of=as_of, channel=channel)
     transit_hubs = hubs_of_type(hubs, P.TRANSIT_HUB)
-    seen = staged(passing_scans(hub_scans(partition_window(scans, "dt", since, as_of), _ARRIVAL_SCANS), client_orders, transit_hubs), "passing-scans")
+    read = partition_window(scans, "dt", since, as_of)
+    read = read.drop("dt") if partials else hub_scans(read, _ARRIVAL_SCANS)
+    seen = staged(passing_scans(read, client_orders, transit_hubs), "passing-scans")
     trips = KeyBits(A.received(seen), "trip_code")
     arrivals = A.first_arrival(seen, A.truck_check_ins(partition_window(truck_events, "dt", since, as_of), trips), "trip_code")
     deliveries = A.delivery_arrivals(arrivals, cohort, transit_hubs)
