@@ -1,7 +1,7 @@
 """Three reports in their plain step-by-step form, to compare results and times with.
 
 They join before aggregating, read the logs once per branch and count distinct
-values one by one, as an analyst's SQL would.
+values one by one, as an analyst's SQL would, and call nothing of the package.
 """
 
 from __future__ import annotations
@@ -11,51 +11,76 @@ from datetime import timedelta
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from hubflow import params as P
-from hubflow.functions import labels, times
-from hubflow.operators import arrivals, backlog, hubs, transit, windows
+ROUTE = "array<struct<check_in_at:struct<`$date`:string>,stop_point:string,items_dropped:array<string>>>"
+BUCKETS = {
+    "ontime_tc": "received_time < CAST(to_date(sla_time) AS timestamp_ntz) - INTERVAL '9' HOUR",
+    "da_tre": "early < 0",
+    "D0C2": "early = 0 AND received_time > cutoff",
+    "D0C1": "early = 0 AND received_time <= cutoff",
+    "D1C2": "early = 1 AND received_time > cutoff",
+    "D1C1": "early = 1 AND received_time <= cutoff",
+    "D2": "early = 2",
+    "D3": "early > 2",
+}
 
 
 def transit_sla(orders, sla, dim, scans, routes, stops, *, as_of, since, lookback_days):
     start = as_of - timedelta(days=lookback_days)
-    picked = windows.partition_window(orders, "dt", start, as_of).filter(
-        (F.col("client_id") == P.CLIENT_SPB) & F.col("end_pick_time").isNotNull()
-    )
-    loaded = windows.partition_window(sla, "loaddate", start, as_of).withColumnRenamed("ordercode", "order_code")
-    cohort = hubs.exclude_hubs(
-        picked.join(loaded, "order_code").join(dim, F.col("warehouse_id") == F.col("deliver_warehouse_id"), "left"),
-        "warehouse_name",
-        P.EXCLUDED_HUB_MARKER,
-    ).select(
-        "order_code", F.col("deadlinedeliverysla").alias("sla_time"), "status", "pick_warehouse_id", "deliver_warehouse_id",
-        "province_id", "warehouse_name", F.to_date("end_pick_time").alias("picked"), F.col("deliveryprovince").alias("deli_province"),
-        "externallane",
+    picked = orders.filter(f"dt >= '{start}' AND dt < '{as_of}' AND client_id = 3892833 AND end_pick_time IS NOT NULL")
+    loaded = sla.filter(f"loaddate >= DATE '{start}' AND loaddate < DATE '{as_of}'").withColumnRenamed("ordercode", "order_code")
+    cohort = (
+        picked.join(loaded, "order_code")
+        .join(dim, F.col("warehouse_id") == F.col("deliver_warehouse_id"), "left")
+        .filter("warehouse_name IS NULL OR NOT contains(warehouse_name, 'Ahamove')")
+        .selectExpr(
+            "order_code", "deadlinedeliverysla AS sla_time", "status", "pick_warehouse_id", "deliver_warehouse_id", "province_id",
+            "warehouse_name", "to_date(end_pick_time) AS picked", "deliveryprovince AS deli_province", "externallane",
+        )
     )
-    kinds = (P.RECEIVE, P.UNPACK, P.EXPORT)
-    log = hubs.hub_scans(windows.partition_window(scans, "dt", start, as_of), kinds, lenient_ids=True).join(
-        cohort.select("order_code").distinct(), "order_code"
+    log = (
+        scans.filter(f"dt >= '{start}' AND dt < '{as_of}' AND action_category IN ('receive', 'unpack', 'export')")
+        .selectExpr("order_code", "CAST(try_cast(warehouse_id AS int) AS bigint) AS hub_id", "action_time", "package_code", "action_category")
+        .join(cohort.select("order_code").distinct(), "order_code")
     )
-    check_ins = arrivals.map_stops(arrivals.route_stops(windows.partition_window(routes, "updated_at_date", start, as_of)), stops)
-    received = log.filter(F.col("action_category") == P.RECEIVE).join(check_ins, ["hub_id", "package_code"], "left")
-    arrived = received.select("order_code", "hub_id", F.coalesce("check_in_at", "action_time").alias("moment")).union(
-        log.filter(F.col("action_category") == P.UNPACK).select("order_code", "hub_id", F.col("action_time").alias("moment"))
+    codes = stops.selectExpr("code AS stop_point", "CAST(try_cast(hub_code AS int) AS bigint) AS hub_id")
+    check_ins = (
+        routes.filter(f"updated_at_date >= TIMESTAMP_NTZ '{start} 00:00:00' AND updated_at_date < TIMESTAMP_NTZ '{as_of} 00:00:00'")
+        .select(F.explode(F.from_json("partner_router", ROUTE)).alias("stop"))
+        .selectExpr("stop.stop_point", "stop.check_in_at.`$date` AS told", "explode(stop.items_dropped) AS package_code")
+        .selectExpr("stop_point", "package_code", "convert_timezone('UTC', 'Asia/Bangkok', CAST(CAST(told AS timestamp) AS timestamp_ntz)) AS check_in_at")
+        .join(codes, "stop_point", "left")
     )
-    exported = log.filter(F.col("action_category") == P.EXPORT).select(
-        "order_code", F.col("hub_id").alias("pick_warehouse_id"), F.col("action_time").alias("sent")
+    received = log.filter("action_category = 'receive'").join(check_ins, ["hub_id", "package_code"], "left")
+    arrived = received.selectExpr("order_code", "hub_id", "coalesce(check_in_at, action_time) AS moment").union(
+        log.filter("action_category = 'unpack'").selectExpr("order_code", "hub_id", "action_time AS moment")
     )
+    exported = log.filter("action_category = 'export'").selectExpr("order_code", "hub_id AS pick_warehouse_id", "action_time AS sent")
     wide = cohort.join(
         arrived.distinct().withColumnRenamed("hub_id", "deliver_warehouse_id"), ["order_code", "deliver_warehouse_id"], "left"
     ).join(exported, ["order_code", "pick_warehouse_id"], "left")
     timed = wide.groupBy(*cohort.columns).agg(F.min("moment").alias("received_time"), F.min("sent").alias("sent"))
-    kept = windows.partition_window(timed, "received_time", since, as_of)
-    weeks = kept.withColumn("week_start", times.week_start(F.col("received_time"))).withColumn("variants", F.lit(1).cast("bigint"))
-    return transit.sla_buckets(weeks, ["week_start", "deli_province", "externallane"])
+    kept = timed.filter(f"received_time >= TIMESTAMP_NTZ '{since} 00:00:00' AND received_time < TIMESTAMP_NTZ '{as_of} 00:00:00'")
+    hour = "CASE WHEN province_id IN (201, 202) THEN INTERVAL '8' HOUR WHEN province_id IS NOT NULL THEN INTERVAL '9' HOUR END"
+    weeks = kept.selectExpr(
+        "*",
+        "CAST(date_trunc('week', received_time) AS timestamp_ntz) AS week_start",
+        "datediff(to_date(sla_time), to_date(received_time)) AS early",
+        f"CAST(to_date(received_time) AS timestamp_ntz) + {hour} AS cutoff",
+    )
+    counts = [F.expr(f"count_if({condition})").alias(name) for name, condition in BUCKETS.items()]
+    return weeks.groupBy("week_start", "deli_province", "externallane").agg(*counts, F.count("*").alias("tong_don"))
 
 
 def delivery_backlog(orders, scans, dim, wards, *, now, hub_names, provinces, lookback_days):
     start = now.date() - timedelta(days=lookback_days)
-    pending = backlog.pending_orders(windows.partition_window(orders, "dt", start))
-    log = windows.partition_window(scans, "dt", start).withColumn("deliver_warehouse_id", F.col("warehouse_id").cast("bigint"))
+    pending = orders.filter(
+        f"dt >= '{start}' AND current_warehouse_id = deliver_warehouse_id AND status NOT IN ('delivered', 'returned', 'return', 'lost', 'scrap') "
+        "AND client_id NOT IN (2781603, 2590595, 224845, 9794, 1367)"
+    ).withColumn(
+        "client_group",
+        F.expr("CASE client_id WHEN 18692 THEN 'SPE' WHEN 3892833 THEN 'SPB' WHEN 3819710 THEN 'TTSE' WHEN 4447237 THEN 'TTSB' ELSE 'SME' END"),
+    )
+    log = scans.filter(f"dt >= '{start}'").withColumn("deliver_warehouse_id", F.col("warehouse_id").cast("bigint"))
 
     def last(condition, name):
         newest = Window.partitionBy("order_code").orderBy(F.col("action_time").desc_nulls_last())
@@ -65,15 +90,27 @@ def delivery_backlog(orders, scans, dim, wards, *, now, hub_names, provinces, lo
         )
 
     names = dim.groupBy(F.col("warehouse_id").alias("current_warehouse_id")).agg(F.max("warehouse_name").alias("currentwh"))
+    places = wards.groupBy(F.col("ward_id").cast("string").alias("towardcode")).agg(
+        *[F.max(c).alias(c) for c in ("province_name", "district_name", "ward_name")]
+    )
     wide = (
-        hubs.ward_lookup(pending.join(names, "current_warehouse_id", "left"), wards)
-        .join(last(F.col("action_name") == P.RECEIVE_ACTION, "ibh_from_receive"), "order_code", "left")
-        .join(last(F.col("action_category") == P.UNPACK, "ibh_from_unpack"), "order_code", "left")
+        pending.join(names, "current_warehouse_id", "left")
+        .withColumn("towardcode", F.expr("coalesce(to_ward_code, CAST(to_ward_id_v2 AS string))"))
+        .join(places, "towardcode", "left")
+        .join(last(F.col("action_name") == "RECEIVE_PACKAGE", "ibh_from_receive"), "order_code", "left")
+        .join(last(F.col("action_category") == "unpack", "ibh_from_unpack"), "order_code", "left")
         .filter(F.col("province_name").isin(*provinces) & F.col("currentwh").isin(*hub_names))
     )
     newest = Window.partitionBy("order_code").orderBy(F.col("created_date").desc_nulls_last())
     first = wide.withColumn("place", F.row_number().over(newest)).filter("place = 1")
-    return backlog.pending_age(backlog.inbound_time(first), now).select(
+    aged = first.withColumn("inbounddeliveryhubtime", F.expr("coalesce(ibh_from_receive, ibh_from_unpack, end_pick_time)")).selectExpr(
+        "*",
+        "CASE WHEN ibh_from_receive IS NOT NULL THEN 'receive_package' WHEN ibh_from_unpack IS NOT NULL THEN 'unpack' "
+        "WHEN end_pick_time IS NOT NULL THEN 'end_pick_time' END AS ibh_source",
+        f"timestampdiff(HOUR, inbounddeliveryhubtime, TIMESTAMP_NTZ '{now}') AS pending_hours",
+        f"timestampdiff(DAY, inbounddeliveryhubtime, TIMESTAMP_NTZ '{now}') AS pending_days",
+    )
+    return aged.select(
         F.col("order_code").alias("ordercode"), F.to_date("created_date").alias("created_date"), F.col("client_id").alias("clientid"),
         "client_group", F.col("status").alias("currentstatus"), "currentwh", F.col("currentwh").alias("deliverywh"),
         F.col("province_name").alias("toprovince"), F.col("district_name").alias("todistrict"), "towardcode", "ward_name",
@@ -82,18 +119,17 @@ def delivery_backlog(orders, scans, dim, wards, *, now, hub_names, provinces, lo
 
 
 def weight_summary(mart, log, *, as_of):
-    window = windows.month_to_date_window(as_of)
-    status = F.col("currentstatus")
-    done = F.to_date(F.when(status == "delivered", F.col("enddeliverytime")).when(status == "returned", F.col("endreturntime")))
+    first = as_of.replace(day=1)
+    for _ in range(3):
+        first = (first - timedelta(days=1)).replace(day=1)
+    done = "to_date(CASE currentstatus WHEN 'delivered' THEN enddeliverytime WHEN 'returned' THEN endreturntime END)"
     cohort = mart.filter(
-        F.col("clientid").isin(*P.MEASURED_CLIENTS)
-        & done.between(F.lit(window.start), F.lit(window.end))
-        & (F.col("createddate_partition") >= F.lit(window.partition_start))
-    ).select(
+        f"clientid IN (3819710, 4447237) AND {done} BETWEEN DATE '{first}' AND DATE '{as_of}' AND createddate_partition >= DATE '{first}'"
+    ).selectExpr(
         "ordercode",
-        done.alias("success_date"),
-        labels.measured_client(F.col("clientid")).alias("client_type"),
-        labels.journey_type(status).alias("journey_type"),
+        f"{done} AS success_date",
+        "CASE clientid WHEN 3819710 THEN 'TTS_Exp' ELSE 'TTS_Bulky' END AS client_type",
+        "CASE currentstatus WHEN 'delivered' THEN 'deli' ELSE 'return' END AS journey_type",
     )
 
     def branch(action, hub_ids, weight=None, sizes=False):
@@ -101,28 +137,27 @@ def weight_summary(mart, log, *, as_of):
             return F.get_json_object("data", f"$.{name}").try_cast("double") if name else F.lit(None).cast("double")
 
         rows = log.filter((F.col("action") == action) & F.col("location_id").isin(*hub_ids))
-        rows = windows.partition_window(rows, "date_partition", window.start)
-        return rows.join(cohort.select(F.col("ordercode").alias("order_code")), "order_code").select(
+        return rows.filter(f"date_partition >= '{first}'").join(cohort.select(F.col("ordercode").alias("order_code")), "order_code").select(
             "order_code",
             "location_id",
             "last_updated_time",
             field(weight).alias("w"),
-            *[field(f if sizes else None).alias(c) for c, f in zip("lbh", P.SIZE_FIELDS.values(), strict=True)],
+            *[field(f if sizes else None).alias(c) for c, f in zip("lbh", ("dwsLength", "dwsWidth", "dwsHeight"), strict=True)],
         )
 
-    both = (P.HUB_XA, P.HUB_HY)
+    xa, hy = "1626", "21365000"
     raw = (
-        branch(P.SORTING, [P.HUB_XA], "feederWeight")
-        .unionByName(branch(P.SORTING, [P.HUB_HY], "feederWeight"))
-        .unionByName(branch(P.WEIGHING, [P.HUB_HY], "weight"))
-        .unionByName(branch(P.DWS, both, None, True))
-        .unionByName(branch(P.MATRIX, both, "dwsWeight", True))
+        branch("SORTING_PARCEL", [xa], "feederWeight")
+        .unionByName(branch("SORTING_PARCEL", [hy], "feederWeight"))
+        .unionByName(branch("WEIGHING_PARCEL", [hy], "weight"))
+        .unionByName(branch("DWS_PARCEL", [xa, hy], None, True))
+        .unionByName(branch("MATRIX_SCANNED_PARCEL", [xa, hy], "dwsWeight", True))
     )
     maxima = raw.groupBy("order_code", "location_id").agg(*[F.max(c).alias(c) for c in "wlbh"])
     full = maxima.filter("w > 0 AND l > 0 AND b > 0 AND h > 0").select("order_code", "location_id")
     passes = (
         raw.join(full, ["order_code", "location_id"])
-        .groupBy("order_code", "location_id", times.minute_of(F.col("last_updated_time")).alias("minute"))
+        .groupBy("order_code", "location_id", F.expr("date_trunc('minute', last_updated_time)").alias("minute"))
         .agg(F.max("w").alias("w"))
         .filter("w > 0")
         .withColumn("kg", F.round(F.col("w") / 1000.0, 3))
@@ -137,7 +172,7 @@ def weight_summary(mart, log, *, as_of):
             F.countDistinct(minute).alias(f"passes_{name}"),
         ]
 
-    weights = passes.groupBy("order_code").agg(*per_hub("HY", P.HUB_HY), *per_hub("XA", P.HUB_XA))
+    weights = passes.groupBy("order_code").agg(*per_hub("HY", hy), *per_hub("XA", xa))
     gaps = weights.select(
         F.col("order_code").alias("ordercode"),
         "last_HY",
