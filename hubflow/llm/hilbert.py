@@ -90,8 +90,16 @@ def hilbert_shards(rows: DataFrame, axes: list[Column], shards: int, *, bits: in
     return placed.withColumn("shard", shard.cast("int")).withColumn("slot", place - first).select(*rows.columns, "cell", "shard", "slot")
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, shards: int, key: str = "doc_id") -> None:
-    """Write documents as one folder per shard, sorted along the curve, so files carry narrow ranges of every axis."""
-    where = placed.select(key, "cell", "shard", "slot")
-    joined = docs.join(where, key).repartitionByRange(scaled(shards, 1, 1), "shard", "slot")
-    joined.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, axes: list[Column], path: str, shards: int, *, bits: int = 5, files_per_shard: int = 1) -> None:
+    """Write documents, all columns, along the curve over ``axes`` (columns of ``docs``): a folder ``curve_shard=k`` per shard, in it
+    files whose rows follow each other on the curve, so that a file carries narrow ranges of every axis and readers skip others.
+
+    Rows are told apart by a number that is written with them, so rows without an id, or with the id of another, are
+    rows of their own, and a hot id is spread. An empty table writes no row.
+    """
+    row = F.monotonically_increasing_id().alias("row")
+    numbered = written(docs.select(row, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), *[a.alias(f"axis{i}") for i, a in enumerate(axes)]), "hilbert-documents")
+    slim = numbered.select("row", *[f"axis{i}" for i in range(len(axes))])
+    placed = hilbert_shards(slim, [F.col(f"axis{i}") for i in range(len(axes))], shards, bits=bits, key="row").select("row", F.col("shard").alias("curve_shard"), "slot")
+    ordered = numbered.join(placed, "row").repartitionByRange(shards * files_per_shard, "curve_shard", "slot").sortWithinPartitions("curve_shard", "slot")
+    ordered.select("whole.*", "curve_shard").write.partitionBy("curve_shard").parquet(path)

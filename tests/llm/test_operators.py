@@ -87,6 +87,23 @@ def test_shards_are_even_and_gapless(spark):
     assert (rows.sort_values(["shard", "slot"]).cell.diff().dropna() >= 0).all()
 
 
+def test_written_shards_hold_every_row_and_narrow_ranges(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 7, i]), f"t{i}", rng.randrange(32), rng.randrange(32), "x") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, a int, b int, row string").repartition(5)
+    path = str(tmp_path / "shards")
+    hilbert.write_shards(docs, [F.col("a"), F.col("b")], path, 16)
+    back = spark.read.parquet(path)
+    assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    sizes = back.groupBy("curve_shard").agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in "ab"]).toPandas()
+    assert len(sizes) == 16 and sizes.n.max() - sizes.n.min() <= 1
+    # A cell of the grid of 16 shards is 8 by 8: files span a part of either axis, where files of an unsorted table span all of both.
+    assert sizes.a.mean() < 14 and sizes.b.mean() < 14
+    hit = back.where("a BETWEEN 3 AND 5 AND b BETWEEN 20 AND 22").select("curve_shard").distinct().count()
+    assert 1 <= hit <= 4
+    hilbert.write_shards(docs.where("false"), [F.col("a"), F.col("b")], str(tmp_path / "none"), 4)
+
+
 def test_neighbours_have_exact_scores_and_recall(spark):
     table = spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id", "embedding").toPandas()
     rows = [(int(i), [float(x) for x in v]) for i, v in zip(table.vec_id, table.embedding)]
