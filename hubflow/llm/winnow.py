@@ -15,6 +15,8 @@ from hubflow.llm.common import LOWER, Block, blocks, flag_table, mixed, span_has
 
 #: Bytes of words once A-Z are lower-cased: digits, a-z and all bytes beyond ASCII.
 WORD_BYTES = flag_table((48, 57), (97, 122), (128, 255))
+#: Bytes of text that a kernel handles at once: it holds about six numbers of 8 bytes for each.
+BLOCK_BYTES = 1 << 20
 #: log2 of the bits in the filter of benchmark fingerprints; a fixed 1 MB, whatever the benchmark's size.
 FILTER_BITS = 23
 
@@ -63,7 +65,7 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), BLOCK_BYTES):
                 words = Words(block)
                 for length in sorted({min(window, int(c)) for c in words.counts if c}):
                     first, least = words.windows(length)
@@ -96,7 +98,7 @@ def candidate_windows(docs: DataFrame, kept: np.ndarray, lengths: list[int]) ->
         row = TaskContext.get().partitionId() << 40
         kind = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("digest", pa.binary())])
         for batch in batches:
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), BLOCK_BYTES):
                 words = Words(block)
                 found: list[list[dict]] = [[] for _ in range(len(block))]
                 base = np.cumsum(words.counts) - words.counts
