@@ -34,7 +34,7 @@ def skewed(tmp_path_factory):
     # an order of the bulky client that is open, picked and due within the reports' ranges
     hot = con.execute(
         f"SELECT o_orderkey FROM '{SMALL}/orders.parquet' WHERE o_custkey % 6 = 1 AND o_orderkey % 10 <> 0 AND o_orderkey % 50 <> 49 "
-        "AND o_orderstatus <> 'F' AND o_orderdate >= TIMESTAMP '2000-09-01' ORDER BY o_orderkey LIMIT 1"
+        "AND o_orderstatus <> 'F' AND o_orderdate >= TIMESTAMP '2000-11-01' AND o_orderdate < TIMESTAMP '2001-03-01' ORDER BY o_orderkey LIMIT 1"
     ).fetchone()[0]
     for table in BASE_TABLES:
         source = f"SELECT * FROM '{SMALL}/{table}.parquet'"
