@@ -79,11 +79,12 @@ def _(t):
     )
 
 
-# Check-ins per package and hub from the route text, and arrivals with them.
-ROUTE_CHECK_INS = """
+# Check-ins per package and hub from the route text, of all routes or of the report's, and arrivals with them.
+def route_check_ins_sql(condition: str = "") -> str:
+    return f"""
     stops AS (
         SELECT unnest(CAST(partner_router AS JSON[])) AS stop
-        FROM trip_route WHERE updated_at_date >= TIMESTAMP '1995-04-01' AND updated_at_date < TIMESTAMP '2001-06-01'),
+        FROM trip_route{condition}),
     drops AS (
         SELECT CAST(json_extract_string(stop, '$.check_in_at."$date"') AS TIMESTAMPTZ) AT TIME ZONE 'Asia/Bangkok' AS moment,
                json_extract_string(stop, '$.stop_point') AS stop_point,
@@ -94,6 +95,11 @@ ROUTE_CHECK_INS = """
                CASE WHEN regexp_full_match(m.hub_code, '[0-9]+') THEN CAST(m.hub_code AS INT) END AS hub
         FROM drops d LEFT JOIN stop_map m ON m.code = d.stop_point)
 """
+
+
+ROUTE_CHECK_INS = route_check_ins_sql(
+    " WHERE updated_at_date >= TIMESTAMP '1995-04-01' AND updated_at_date < TIMESTAMP '2001-06-01'"
+)
 ROUTE_ARRIVALS = """
     log AS (
         SELECT order_code, action_time AS moment, package_code, action_category AS kind,

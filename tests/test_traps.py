@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from hubflow import params as P
+from hubflow.catalog import CHECKS
 from hubflow.functions import labels, times, values
 from hubflow.operators import arrivals as A
 from hubflow.operators import backlog, failed, hubs, measures, metrics, pickup, transit, windows
+from verify import differences
 
 
 def at(day: int, hour: int = 0, minute: int = 0, second: int = 0) -> datetime:
@@ -192,6 +195,24 @@ def test_route_texts(table):
     assert as_set(mapped) == {("a", 70, at(2, 3)), ("b", 70, at(2, 3)), ("c", None, None), ("d", None, None)}
 
 
+def test_check_ins_are_taken_from_routes_of_every_day(table):
+    days = [None, datetime(1970, 1, 1), datetime(1995, 3, 31, 23), datetime(1995, 4, 1), datetime(2001, 6, 1), datetime(2030, 1, 1)]
+    text = '[{{"check_in_at":{{"$date":"2024-01-01T20:00:00Z"}},"stop_point":"S1","items_dropped":["p{}"]}}]'
+    routes = [(text.format(i), day) for i, day in enumerate(days)]
+    sources = {
+        "trip_route": table("partner_router string, updated_at_date timestamp_ntz", *routes),
+        "stop_map": table("code string, hub_code string", ("S1", "70")),
+    }
+    check = CHECKS["d11_truck_checkin_route"]
+    found = check.build(sources.__getitem__)
+    assert as_set(found) == {(f"p{i}", 70, at(2, 3)) for i in range(len(days))}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE trip_route (partner_router VARCHAR, updated_at_date TIMESTAMP)")
+    con.executemany("INSERT INTO trip_route VALUES (?, ?)", routes)
+    con.execute("CREATE TABLE stop_map AS SELECT 'S1' AS code, '70' AS hub_code")
+    assert not differences(found, con, check.sql)
+
+
 def _deliveries(table, rows, goals, transit_ids):
     reached = table("order_code string, hub_id bigint, arrived_at timestamp_ntz", *rows)
     wanted = table("order_code string, deliver_warehouse_id bigint", *goals)
